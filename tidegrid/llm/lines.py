@@ -110,11 +110,11 @@ def duplicate_lines(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits:
 
     # which distinct lines share a half with another at a fitting length, and how the two may differ
     halves = distinct.select("at.*", F.inline("halves")).repartition("key")
-    shared = halves.groupBy("key").agg(F.count_if("role = 0").alias("n0"), F.count_if("role = 1").alias("n1")).where("n0 > 1 or (n0 > 0 and n1 > 0)")
+    shared = halves.groupBy("key").agg(F.count_if(F.expr("role = 0")).alias("n0"), F.count_if(F.expr("role = 1")).alias("n1")).where("n0 > 1 or (n0 > 0 and n1 > 0)")
     open_lines = (
         halves.join(shared, "key")
         .groupBy("doc_id", "line_no")
-        .agg(F.bool_or("role = 0 and n0 > 1").alias("sub"), F.bool_or("role = 0 and n1 > 0").alias("whole"), F.bool_or("role = 1 and n0 > 0").alias("del"))
+        .agg(F.bool_or(F.expr("role = 0 and n0 > 1")).alias("sub"), F.bool_or(F.expr("role = 0 and n1 > 0")).alias("whole"), F.bool_or(F.expr("role = 1 and n0 > 0")).alias("del"))
         .where("sub or whole or del")
     )
     open_lines = materialize(open_lines, "open")

@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op4_ngram_jaccard": "jaccard",
     "op6_chat_format": "chat",
+    "op7_decontaminate": "decontaminate",
+    "op9_line_dedup": "lines",
     "op10_pack": "pack",
 }
 
