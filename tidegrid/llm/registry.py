@@ -10,6 +10,7 @@ MODULES = {
     "op4_ngram_jaccard": "jaccard",
     "op6_chat_format": "chat",
     "op7_decontaminate": "decontaminate",
+    "op8_pii": "pii",
     "op9_line_dedup": "lines",
     "op10_pack": "pack",
 }
