@@ -6,8 +6,10 @@ from importlib import import_module
 
 #: name -> module; a module has ``query(spark, sf_dir)`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op2_toxicity": "toxicity",
     "op3_vptree_neighbours": "vptree",
     "op4_ngram_jaccard": "jaccard",
+    "op5_quality": "quality",
     "op6_chat_format": "chat",
     "op7_decontaminate": "decontaminate",
     "op8_pii": "pii",

@@ -71,12 +71,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span's bytes (A-Z as a-z if lower), block by block."""
+    """A 64-bit hash of each span's bytes (A-Z as a-z if lower), block by block; the starts ascend."""
     out = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _BLOCK, "right")))
-        lo, hi = int(starts[a]), int(ends[b - 1])
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + _BLOCK)))
+        lo, hi = int(starts[a]), int(ends[a:b].max())
         up, down = powers(hi - lo + 1)
         part = data[lo:hi]
         total = np.zeros(hi - lo + 1, np.uint64)
