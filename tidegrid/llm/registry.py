@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: name -> module; a module has ``query(spark, sf_dir)`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op1_passages": "passages",
     "op2_toxicity": "toxicity",
     "op3_vptree_neighbours": "vptree",
     "op4_ngram_jaccard": "jaccard",

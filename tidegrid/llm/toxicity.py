@@ -8,17 +8,23 @@ skipping up to two letters at a price of ``DECAY`` apiece, so that gapped and
 inserted characters lower the likeness but do not end it; it is scaled by the
 units' own weight.
 
-Labels are on documents, so the evidence is gathered first: a unit that occurs
-in toxic documents nearly alone, more often than chance among all units could
-explain, is a positive example, units of clean documents are negative ones.
+Labels are on documents, so the evidence is gathered first. Candidates are the
+units that occur in toxic documents nearly alone, more often than chance among
+all units could explain. Copies of a toxic document make all its rare words
+candidates, so the fewest candidates that explain the toxic documents are
+chosen greedily as positive examples; units of clean documents are negative.
+Candidates that the machine then puts on the toxic side become positive too,
+and each short positive also counts with a letter inserted or doubled, so that
+the machine learns how far gaps and insertions may lower the likeness.
 The kernel against ``LANDMARKS`` units is whitened by its eigenvectors
 (Nystroem) and a linear machine with squared hinge loss fitted by Newton
 steps; then the clean units that it scores highest join the negatives and it
 is fitted anew. As the machine is linear in subsequence counts, its landmarks
 fold into one weight per subsequence: scoring costs nine look-ups per letter.
 
-A document's margin is that of its highest unit, made a probability by a
-logistic line over the fitting rows. A text without units, null or empty, has
+A document's margin is that of its highest unit, made a probability by the
+slope of a logistic line over the fitting rows around a threshold between
+their clean margins and the machine's target. A text without units, null or empty, has
 the lowest margin. Without labels of both kinds every score is the share of
 toxic labels (0 if there are none). Every text is read whole, and no other
 column takes part. ``FIT_ROWS`` labelled rows at most, taken by a hash of
@@ -41,8 +47,9 @@ from .textkernels import buffers, mix, span_hashes, words
 from .training import FIT_ROWS, append_score, fit_rows, logistic_line, remainder, sigmoid
 
 LANDMARKS, DECAY, STEPS = 192, 0.5, (1, 2, 3)
-POSITIVES, NEGATIVES, HARD = 3000, 12_000, 3000
+POSITIVES, NEGATIVES, HARD, COST = 3000, 12_000, 3000, 20.0
 LOWEST = -4.0
+MIXED = 5
 BEGIN = 63
 
 _LETTERS = np.zeros(256, np.uint8)
@@ -171,11 +178,59 @@ def count_units(rows: DataFrame) -> DataFrame:
     return made.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.length("unit") > 2)
 
 
+def explain(rows: DataFrame, candidates: list[bytes]) -> list[bytes]:
+    """The fewest candidates, greedily, that occur in the toxic rows that hold any; equal rows count once.
+
+    Then those that occur with at least ``MIXED`` different sets of these: the
+    words that one text's copies share always meet the same set.
+    """
+    place = {u: k for k, u in enumerate(candidates)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = buffers(b.column(0))
+            starts, ends, row = units(data, offsets)
+            _, once = np.unique(mix(span_hashes(data, starts, ends) ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
+            flat, where = letters(data, starts[once], ends[once])
+            whole, held = flat.tobytes(), [set() for _ in range(len(b.column(0)))]
+            for r, i, j in zip(row[once].tolist(), where[:-1].tolist(), where[1:].tolist(), strict=True):
+                if (k := place.get(whole[i:j])) is not None:
+                    held[r].add(k)
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(h) for h in held], pa.list_(pa.int32()))], ["held"])
+
+    lists = rows.where("label = 1").select("text").mapInArrow(work, "held array<int>").where(F.size("held") > 0).distinct()
+    all_ = [set(r[0]) for r in lists.collect()]  # of the toxic among the fitting rows
+    open_, least, chosen = all_, 2 if len(all_) < 200 else 3, []
+    while open_:
+        gain = np.zeros(len(candidates), np.int64)
+        for h in open_:
+            gain[list(h)] += 1
+        best = int(gain.argmax())
+        if gain[best] < least:
+            break
+        chosen.append(best)
+        open_ = [h for h in open_ if best not in h]
+    some = set(chosen)
+    met: list[set] = [set() for _ in candidates]
+    for h in all_:
+        company = frozenset(h & some)
+        for k in h - some:
+            met[k].add(company)
+    return [candidates[k] for k in chosen] + [u for u, m in zip(candidates, met, strict=True) if len(m) >= MIXED]
+
+
+def disguised(unit: bytes) -> list[bytes]:
+    """The unit with one letter inserted or doubled inside, if it has 4 to 12 letters."""
+    if not 5 <= len(unit) <= 13:
+        return []
+    return [unit[:k] + x + unit[k:] for k in range(2, len(unit)) for x in (bytes([24]), unit[k - 1 : k])]
+
+
 def _flat(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), np.uint8), np.concatenate(([0], np.cumsum([len(u) for u in found]))).astype(np.int64)
 
 
-def machine(positive: list[bytes], negative: list[bytes], landmarks: list[bytes], cost: float = 20.0) -> tuple[np.ndarray, float]:
+def machine(positive: list[bytes], negative: list[bytes], landmarks: list[bytes], cost: float = COST) -> tuple[np.ndarray, float]:
     """Weights per subsequence and the bias of the machine over the landmarks' kernel."""
     flat, where = _flat(landmarks)
     subs = np.unique(np.concatenate([s for _, s, _ in triples(flat, where)]))
@@ -198,7 +253,7 @@ def machine(positive: list[bytes], negative: list[bytes], landmarks: list[bytes]
     x = np.concatenate([features(everything[k : k + 500]) @ base.T for k in range(0, len(everything), 500)]).astype(np.float64) @ whiten
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    weight = np.where(y > 0, len(negative) / max(1, len(positive)), 1.0) ** 0.5 * cost / len(y) * 100
+    weight = np.where(y > 0, len(negative) / max(1, len(positive)), 1.0) ** 0.5 * cost
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
@@ -228,7 +283,8 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Mod
     least = max(3, math.ceil(math.log(max(2, vocabulary.count()) / 0.05) / math.log(1 / rate)))
     sure = F.col("toxic") >= 9 * F.col("clean")
     take = lambda df, n: [bytes(r[0]) for r in df.limit(n).collect()]
-    positive = take(vocabulary.where(sure & (F.col("toxic") >= least)).orderBy(F.desc("toxic"), "unit").select("unit"), POSITIVES)
+    candidates = take(vocabulary.where(sure & (F.col("toxic") >= least)).orderBy(F.desc("toxic"), "unit").select("unit"), POSITIVES)
+    positive = explain(rows, candidates)
     if not positive:
         positive = take(vocabulary.where("toxic >= clean and toxic > 1").orderBy(F.desc("toxic"), "unit").select("unit"), 20)
     if not positive:
@@ -240,8 +296,10 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Mod
     head = positive[: LANDMARKS // 4]
     landmarks = [*head, *spread(positive[len(head) :] or head, LANDMARKS // 4), *spread(negative, LANDMARKS // 2)]
     landmarks = list(dict.fromkeys(landmarks))
+    known = {*negative}
+    varied = lambda: sorted({*positive, *(v for u in positive for v in disguised(u) if v not in known)})
     for _ in range(2):
-        weights, bias = machine(positive, negative, landmarks)
+        weights, bias = machine(varied(), negative, landmarks)
         model = Model(weights, bias, 1.0, 0.0)
 
         def rate_units(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
@@ -251,11 +309,20 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Mod
         rated = plain.select("unit").mapInArrow(rate_units, "unit binary, margin double")
         hard = take(rated.orderBy(F.desc("margin"), "unit").select("unit"), HARD)
         negative = sorted({*negative, *hard})
+        known |= {*hard}
         landmarks = list(dict.fromkeys([*landmarks, *hard[: LANDMARKS // 8]]))
-    weights, bias = machine(positive, negative, landmarks)
+        if candidates:
+            margin = model.margins(*_flat(candidates))
+            positive = sorted({*positive, *(u for u, m in zip(candidates, margin, strict=True) if m > 0)})
+    weights, bias = machine(varied(), negative, landmarks)
     model = Model(weights.astype(np.float32), bias, 1.0, 0.0)
     seen = append_score(rows, "margin", lambda column: model.highest(column)).select("margin", "label").toPandas()  # ``bound`` rows at most
-    model.slope, model.offset = logistic_line(seen["margin"].to_numpy(), seen["label"].to_numpy())
+    margin, label = seen["margin"].to_numpy(), seen["label"].to_numpy()
+    model.slope, model.offset = logistic_line(margin, label)
+    # the machine aims at 1 for positives, disguised ones too: halfway there from where clean rows end, if that is lower
+    end = float(np.quantile(margin[label == 0], 0.999))
+    if end < 1 and model.slope > 0:
+        model.offset = -model.slope * min(-model.offset / model.slope, max(0.0, (end + 1) / 2))
     return model
 
 
