@@ -1,24 +1,65 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and reread by the next."""
+"""The corpus pipeline: each stage's rows are written as Parquet and reread by the next.
+
+A stage takes (spark, docs, sf_dir) and works on all rows that the one before
+kept. All but the last return the columns of ``documents``, extra ones
+included; the last returns the pieces of packed sequences. Empty tables,
+empty and null texts pass through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm.common import materialize, table
-from tidegrid.llm.pack import pack
+from tidegrid.llm import decontaminate, jaccard, lines, pack, toxicity
+from tidegrid.llm.common import materialize, maybe_broadcast, table
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without those ids; rows without an id stay."""
+    gone = maybe_broadcast(materialize(ids.distinct().toDF("_gone"), "gone"), 16)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go."""
+    model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines go that an earlier document or line has; a document goes if nothing is left of it."""
+    return lines.drop_lines(docs, materialize(lines.duplicate_lines(docs), "drops"))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document of the least id stays."""
+    found = materialize(jaccard.components(docs, 5, 80), "groups")
+    kept = _without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    single = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept if single else kept.dropDuplicates(["doc_id", "text"])
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return _without(docs, decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as token sequences, piece by piece."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("near duplicates", dedup_documents),
+    ("decontamination", decontaminate_benchmark),
     ("packing", packing),
 ]
 
-#: No SQL expresses these stages.
+#: No SQL expresses training, packing or the tokenizer.
 ORACLE_SQL = None
 
 
