@@ -7,14 +7,18 @@ bounds their sizes' ratio and their symmetric difference by
 ``(|x| + |y|) * (100 - percent) / (100 + percent)``.
 
 Sizes are cut into bands. In the tiles of a band every set is dealt by hash
-into one part more than the largest possible difference of its pairs, so two
-linked sets agree in one part at least: a tile is the classes that share the
-hash of such a part. This loses no link, and a common line or passage makes
-no tile, as the other shingles of the part differ.
+into more parts than the largest possible difference of its pairs, so two
+linked sets agree in some parts: a tile is the classes that share the hash of
+such a part. There are some parts to spare, so that a set with no more empty
+parts than these agrees in one that is not empty; others emit their empty
+parts, too. This loses no link, and a common line or passage makes no tile,
+as the other shingles of the part differ.
 
 Inside a tile the parity bitmaps of two sets bound their overlap from above:
-each differing bit is a shingle that only one of them has. Pairs that pass
-are decided by the intersection of their sorted shingle arrays.
+each differing bit is a shingle that only one of them has. A bitmap has two
+bits and more per shingle; a longer one is folded to the length of the other.
+Pairs that pass are decided by the intersection of their sorted shingle
+arrays.
 
 Not all pairs of a tile need a decision to find the components. First every
 class is compared with the least one of its tiles. Only tiles that then still
@@ -39,12 +43,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, connected_components, materialize, maybe_broadcast, table
 from .textkernels import buffers, mix, shingles, span_hashes, words
 
-BITS = 1024
+LEAST_BITS, MOST_BITS = 512, 1 << 17
 GROWTH = 1.35
 BLOCK = 512
 
 
-def sets(column: pa.Array, size: int, pieces: int = 1 << 21) -> Iterator[np.ndarray]:
+def sets(column: pa.Array, size: int, pieces: int = 1 << 19) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every row, working on about ``pieces`` bytes at a time."""
     data, offsets = buffers(column)
     a = 0
@@ -74,27 +78,37 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     n, found = len(s), []
     band = int(np.searchsorted(_starts, n, "right")) - 1
     while band == 0 or 100 * n >= percent * _starts[band]:
-        if n < _starts[band]:
-            mine = False
-        else:
-            mine = True
         top = _starts[band + 1] - 1
-        parts = 2 * top * (100 - percent) // (100 + percent) + 1
+        differ = 2 * top * (100 - percent) // (100 + percent)
+        spare = 2 + differ // 8 if differ else 0
+        parts = differ + 1 + spare
         value = mix(s ^ np.uint64(0x51ED270B + band))
+        part = (value % np.uint64(parts)).astype(np.int64)
         total = np.zeros(parts, np.uint64)
-        np.add.at(total, (value % np.uint64(parts)).astype(np.int64), mix(value + np.uint64(0x2545F491)))
-        found.append(mix(total + mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 40))))
+        np.add.at(total, part, mix(value + np.uint64(0x2545F491)))
+        key = mix(total + mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 40)))
+        held = np.bincount(part, minlength=parts) > 0
+        found.append(key[held] if parts - held.sum() <= spare else key)
         band += 1
-        if mine and band >= len(_starts) - 1:
+        if band >= len(_starts) - 1:
             break
     return np.concatenate(found).view(np.int64)
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    odd = np.bincount((mix(s + np.uint64(0x1B873593)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Which bits an odd number of the set's hashes falls on."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(s)).bit_length()))
+    odd = np.bincount((mix(s + np.uint64(0x1B873593)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def fold(bits: bytes, to: int) -> bytes:
+    """A bitmap as if it had been made with ``to`` bytes."""
+    if len(bits) == to:
+        return bits
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, to // 8), axis=0).tobytes()
+
+
 def sketch(documents: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, h1, h2 (a hash of the whole set), bitmap, sigs."""
 
@@ -120,10 +134,12 @@ def sketch(documents: DataFrame, size: int, percent: int) -> DataFrame:
 
 def _possible(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs the sizes and the bitmaps leave open."""
-    if not len(a):
-        return np.zeros(0, bool)
-    x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, BITS // 64) for v in (a, b))
-    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    wide = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    differ = np.zeros(len(a), np.int64)
+    for to in np.unique(wide).tolist():
+        at = np.flatnonzero(wide == to)
+        x, y = (np.frombuffer(b"".join(fold(v[k], to) for k in at), np.uint64).reshape(len(at), -1) for v in (a, b))
+        differ[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
     return (differ * (100 + percent) <= (na + nb) * (100 - percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
@@ -178,7 +194,8 @@ def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         own, rep, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 4))
         leader = rows[0][3]
-        bits = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+        least = min(len(r[5]) for r in rows)
+        bits = np.frombuffer(b"".join(fold(r[5], least) for r in rows), np.uint64).reshape(len(rows), -1)
         i, j = rows[0][6], rows[0][7]
         found = [], []
         for k in range(len(rows)):
@@ -226,11 +243,10 @@ def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     bounded_batches(documents.sparkSession)
     sketches = materialize(sketch(documents, size, percent), "sketches")
     full = sketches.where("n > 0 and doc_id is not null")
-    reps = full.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bitmap", "doc_id").alias("bitmap"), F.min_by("sigs", "doc_id").alias("sigs")
-    )
+    reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     reps = materialize(reps, "reps")
-    dealt = reps.select("rep", F.explode("sigs").alias("sig")).repartition("sig")
+    chosen = maybe_broadcast(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), 48)
+    dealt = full.join(chosen, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sigs").alias("sig")).repartition("sig")
     tiles = dealt.groupBy("sig").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1")
     members = materialize(dealt.join(tiles, "sig"), "tiles")
     pairs = materialize(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
