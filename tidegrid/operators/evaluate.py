@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -37,11 +38,9 @@ def recall_stats(recalls: DataFrame) -> DataFrame:
     )
 
 
-def spikes(series: DataFrame, n: str, value: str, threshold: float) -> DataFrame:
-    """Rows at which the value is more than the threshold above the row before."""
-    from pyspark.sql import Window as W
-
-    before = F.lag(value).over(W.orderBy(n))  # a benchmark's log: one series
+def spikes(series: DataFrame, n: str, value: str, threshold: float, key: str | None = None) -> DataFrame:
+    """Rows at which the value is more than the threshold above the row before, within each key's series."""
+    before = F.lag(value).over((W.partitionBy(key) if key else W).orderBy(n))
     return series.withColumn("jump", F.col(value) - before).where(F.col("jump") > threshold)
 
 

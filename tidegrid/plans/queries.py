@@ -2,12 +2,14 @@
 
 Vectors are ``embeddings``; a vector's time is its id (``ts = vec_id``) and a
 bucket a quarter of the ids, or, in the ``event`` queries, the time of the
-event of the same id and a bucket an hour. Queries are the vectors of the ids
-0 to 9 unless said otherwise.
+event of the same id and a bucket an hour. Queries are the vectors whose id
+is divisible by 100, against all rows.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -24,7 +26,10 @@ from ..operators import hnsw, ivf
 from ..operators import ingest as I
 from ..operators.knn import knn_batch, knn_single, top_k
 from ..shipping import ship
+from ..sources import vecs
+from ..streaming.ingest import ingest
 from ..types import CollectionConfig
+from .engine import Engine
 
 HOUR = 3600
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +39,7 @@ SQL: dict[str, str] = {}
 #: Common table expressions of the SQL side.
 CTE = """
 v AS (SELECT vec_id AS vector_id, vec_id AS ts, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-q AS (SELECT vector_id AS query_id, e FROM v WHERE vector_id < 10),
+q AS (SELECT vector_id AS query_id, e FROM v WHERE vector_id % 100 = 0),
 n AS (SELECT count(*) // 4 AS d, count(*) AS total FROM v),
 b AS (SELECT v.*, (ts // d) * d AS bucket_start, CAST(ts // d AS INTEGER) AS bucket_seq FROM v, n),
 ev AS (SELECT v.vector_id, v.e, CAST(floor(epoch(x.ts)) AS BIGINT) AS ts FROM v JOIN events x ON x.event_id = v.vector_id),
@@ -78,8 +83,8 @@ def event_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).drop("ts", "label").join(events, F.col("vector_id") == F.col("event_id")).drop("event_id")
 
 
-def some(spark: SparkSession, d: str, least: int = 0, below: int = 10) -> DataFrame:
-    rows = vectors(spark, d).where((F.col("vector_id") >= least) & (F.col("vector_id") < below))
+def some(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    rows = vectors(spark, d).where(F.col("vector_id") % every == 0)
     return rows.select(F.col("vector_id").alias("query_id"), F.col("vector").alias("query"))
 
 
@@ -211,14 +216,14 @@ def _(s, d):
     return knn_batch(vectors(s, d).where("label = 3"), some(s, d), 10)
 
 
-@query("knn_k_ge_n", HITS.replace("10", "1000000"), KNN.format(dist=l2("q.e", "v.e"), where="WHERE v.vector_id < 25"))
+@query("knn_k_ge_n", HITS.replace("10", "1000000"), KNN.format(dist=l2("q.e", "v.e"), where="WHERE v.label = 5"))
 def _(s, d):
-    return knn_batch(vectors(s, d).where("vector_id < 25"), some(s, d), 100)
+    return knn_batch(vectors(s, d).where("label = 5"), some(s, d), 1_000_000)
 
 
 @query("knn_all_pairs", "SELECT query_id, CAST(rank AS INTEGER) AS rank, vector_id, distance FROM r WHERE rank <= 3", "k AS (SELECT x.vector_id AS query_id, v.vector_id, " + l2("x.e", "v.e") + " AS distance FROM v x, v WHERE x.vector_id <> v.vector_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vector_id) AS rank FROM k),")
 def _(s, d):
-    return knn_batch(vectors(s, d), some(s, d, below=1 << 60), 3, exclude_self=True)
+    return knn_batch(vectors(s, d), some(s, d, 1), 3, exclude_self=True)
 
 
 @query("topk_ties", "SELECT label, CAST(rank AS INTEGER) AS rank, vector_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score, vector_id) AS rank FROM (SELECT label, vector_id, vector_id % 3 AS score FROM v)) WHERE rank <= 5")
@@ -373,13 +378,13 @@ def _(s, d):
 
 # ingest: each id arrives again a round later, in reverse order
 
-ARRIVE = """a AS (SELECT vector_id, ts, ts AS arrival FROM v UNION ALL SELECT vector_id, ts + 1000, 2 * total - vector_id - 1 FROM v, n WHERE vector_id % 3 = 0),
+ARRIVE = """a AS (SELECT vector_id, ts, ts AS arrival FROM v UNION ALL SELECT vector_id, ts + 1000, 2 * total - vector_id - 1 FROM v, n),
 f AS (SELECT *, row_number() OVER (PARTITION BY vector_id ORDER BY arrival) AS k FROM a),"""
 
 
 def _arrivals(s: SparkSession, d: str) -> DataFrame:
     v = vectors(s, d).select("vector_id", "ts", F.col("ts").alias("arrival"))
-    again = v.where("vector_id % 3 = 0").select("vector_id", (F.col("ts") + 1000).alias("ts"), (F.lit(2 * v.count() - 1) - F.col("vector_id")).alias("arrival"))
+    again = v.select("vector_id", (F.col("ts") + 1000).alias("ts"), (F.lit(2 * v.count() - 1) - F.col("vector_id")).alias("arrival"))
     return v.union(again)
 
 
@@ -388,14 +393,14 @@ def _(s, d):
     return I.first_wins(_arrivals(s, d))
 
 
-@query("insert_accepted", "SELECT vector_id, ts, arrival FROM f WHERE k = 1 AND vector_id % 5 <> 0", ARRIVE)
+@query("insert_accepted", "SELECT vector_id, ts, arrival FROM f JOIN v USING (vector_id, ts) WHERE k = 1 AND label <> 0", ARRIVE)
 def _(s, d):
-    return I.accepted(_arrivals(s, d), vectors(s, d).where("vector_id % 5 = 0")).select("vector_id", "ts", "arrival")
+    return I.accepted(_arrivals(s, d), vectors(s, d).where("label = 0")).select("vector_id", "ts", "arrival")
 
 
-@query("insert_skipped", "SELECT vector_id, ts, arrival FROM f WHERE k > 1 OR vector_id % 5 = 0", ARRIVE)
+@query("insert_skipped", "SELECT vector_id, f.ts, arrival FROM f JOIN v USING (vector_id) WHERE k > 1 OR label = 0", ARRIVE)
 def _(s, d):
-    return I.skipped(_arrivals(s, d), vectors(s, d).where("vector_id % 5 = 0")).select("vector_id", "ts", "arrival")
+    return I.skipped(_arrivals(s, d), vectors(s, d).where("label = 0")).select("vector_id", "ts", "arrival")
 
 
 @query("insert_counts", "SELECT count(*) FILTER (WHERE k = 1) AS accepted, count(*) FILTER (WHERE k > 1) AS skipped FROM f", ARRIVE)
@@ -479,10 +484,10 @@ def _(s, d):
     return E.nearest_rank(s.read.parquet(f"{d}/events.parquet"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-@query("rss_spikes", "SELECT event_id, value, value - lag AS jump FROM (SELECT event_id, value, lag(value) OVER (ORDER BY event_id) AS lag FROM events WHERE user_id = 7) WHERE value - lag > 20")
+@query("rss_spikes", "SELECT user_id, event_id, value, value - lag AS jump FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS lag FROM events) WHERE value - lag > 20")
 def _(s, d):
-    series = s.read.parquet(f"{d}/events.parquet").where("user_id = 7").select("event_id", "value")
-    return E.spikes(series, "event_id", "value", 20.0)
+    series = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value")
+    return E.spikes(series, "event_id", "value", 20.0, "user_id")
 
 
 @query("payload_crc", None)
@@ -518,6 +523,91 @@ def _(s, d):
 def _(s, d):
     """Probing every cell is exact."""
     rows = vectors(s, d)
-    picked = rows.where("vector_id < 160 and vector_id % 10 = 0").orderBy("vector_id").select("vector").toPandas()  # 16 rows as centres
+    picked = some(s, d).orderBy("query_id").select(F.col("query").alias("vector")).limit(64).toPandas()  # some vectors as centres
     centres = np.stack(picked["vector"].to_numpy()).astype(np.float64)
     return ivf.search(rows, some(s, d), centres, 10, len(centres)).select("query_id", "rank", "vector_id", "distance")
+
+
+# the engine, files and streams; their state lies in the shared folder
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
+
+
+def _filled(s: SparkSession, d: str) -> Engine:
+    base = scratch(s)
+    engine = Engine(s, f"{base}/root", f"{base}/blob")
+    engine.create_collection("vectors", _config(quarter(s, d)))
+    engine.batch_insert("vectors", vectors(s, d).select("vector_id", "ts", "vector", F.col("vector_id").alias("arrival")))
+    return engine
+
+
+def _hits(engine: Engine, s: SparkSession, d: str) -> DataFrame:
+    return engine.search("vectors", some(s, d), 10).select("query_id", "rank", "vector_id", "bucket_seq", "distance")
+
+
+ALL = BK.format(dist=PLAIN, where="")
+
+
+@query("engine_search", BHITS, ALL)
+def _(s, d):
+    return _hits(_filled(s, d), s, d)
+
+
+@query("snapshot_roundtrip", BHITS, ALL)
+def _(s, d):
+    engine = _filled(s, d)
+    engine.snapshot("vectors")
+    again = Engine(s, scratch(s), engine.blob)
+    again.recover()
+    return _hits(again, s, d)
+
+
+@query("log_recovery", BHITS, ALL)
+def _(s, d):
+    """Nothing was snapshotted: the log alone brings the rows back."""
+    engine = _filled(s, d)
+    again = Engine(s, scratch(s), engine.blob)
+    again.recover(log_root=engine.root)
+    return _hits(again, s, d)
+
+
+@query("tier_cycle_same_hits", BHITS, ALL)
+def _(s, d):
+    engine = _filled(s, d)
+    for seq in (0, 1):
+        engine.swap_bucket_out_to_blob("vectors", seq)
+        engine.evict_bucket("vectors", seq)
+        engine.swap_bucket_in_from_blob("vectors", seq)
+    engine.swap_bucket_out("vectors", 2)
+    return _hits(engine, s, d)
+
+
+@query("engine_evicted", BHITS, BK.format(dist=PLAIN, where="WHERE bucket_seq <> 1"))
+def _(s, d):
+    engine = _filled(s, d)
+    engine.evict_bucket("vectors", 1)
+    return _hits(engine, s, d)
+
+
+@query("stream_ingest", "SELECT vector_id, bucket_start, bucket_seq FROM b")
+def _(s, d):
+    base = scratch(s)
+    engine = Engine(s, f"{base}/root")
+    engine.create_collection("vectors", _config(quarter(s, d)))
+    stream = s.readStream.schema("vec_id long, embedding array<float>").option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    rows = stream.select(F.col("vec_id").alias("vector_id"), F.col("vec_id").alias("ts"), F.col("embedding").alias("vector"))
+    ingest(rows, engine, "vectors", f"{base}/checkpoint", mode="event_time").awaitTermination()
+    return engine.stored("vectors").select("vector_id", "bucket_start", "bucket_seq")
+
+
+@query("fvecs_scan", "SELECT e[1] AS first, e[64] AS last, len(e) AS dim FROM v")
+def _(s, d):
+    vecs.register(s)
+    path = scratch(s)
+    vectors(s, d).select(F.col("vector_id").alias("row_id"), F.col("vector").alias("values")).write.format("fvecs").mode("append").save(path)
+    back = s.read.format("fvecs").load(path)
+    return back.select(F.get("values", F.lit(0)).cast("double").alias("first"), F.get("values", F.lit(63)).cast("double").alias("last"), F.size("values").cast("long").alias("dim"))

@@ -9,14 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.engine import Engine
 
 
-def ingest(stream: DataFrame, engine: Engine, collection: str, checkpoint: str, available_now: bool = True, interval: str = "1 second") -> StreamingQuery:
+def ingest(stream: DataFrame, engine: Engine, collection: str, checkpoint: str, available_now: bool = True, interval: str = "1 second", mode: str = "arrival") -> StreamingQuery:
     """Insert a stream of (vector_id, ts, vector) micro-batch by micro-batch.
 
     A micro-batch that is sent again adds nothing, as its ids are known.
     """
 
     def insert(batch: DataFrame, _: int) -> None:
-        engine.batch_insert(collection, batch)
+        engine.batch_insert(collection, batch, mode)
 
     writer = stream.select("vector_id", "ts", "vector").writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
