@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -48,33 +51,19 @@ def _clean() -> None:
             return
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, once a session."""
-    import zipfile
-    from pathlib import Path
-
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="tidegrid-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for p in sorted(top.rglob("*.py")):
-            out.write(p, str(p.relative_to(top.parent)))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
     """Make Python workers ready: the package's sources, and Arrow batches of bounded size whatever the rows' lengths."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files behind DataFrames that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit_mb: int = 64) -> DataFrame:
     """Broadcast a materialised df if its counted size is under the limit.
 
@@ -83,16 +72,45 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit_mb: int = 64) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit_mb << 20 else df
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _united(batches):
+    """Union-find over one task's edges, the least id of a set as its root."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], ["id", "component"])
+
+
+LOCAL_EDGES = 1 << 20
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) for all ids of edges(a, b); component: least id reachable.
 
-    Alternates the large-star and small-star steps until the edges are stars
-    around the least ids. Each round is one aggregation and one join, which
-    Spark can split at a hub; no neighbour list is ever gathered.
+    Up to ``local_edges`` distinct edges, counted first, are united by one
+    task. Beyond that large-star and small-star steps alternate until the
+    edges are stars around the least ids. Each round is one aggregation and
+    one join, which Spark can split at a hub; no neighbour list is gathered.
     """
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
+    if now.count() <= local_edges:
+        ship(edges.sparkSession)
+        return now.coalesce(1).mapInArrow(_united, "id long, component long")
     before = None
     for _ in range(max_rounds):
         both = now.union(now.select("b", "a"))

@@ -46,13 +46,15 @@ def encoder(path: str):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
-        whole = Tokenizer.from_file(path)
+        whole: list[Tokenizer] = []  # made when first needed
         pre = spec.get("pre_tokenizer") or {}
         plain = not spec.get("normalizer") and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
         special = [t["content"] for t in spec.get("added_tokens", [])]
 
         def slow(text: str) -> bytes:
-            return np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if not whole:
+                whole.append(Tokenizer.from_file(path))
+            return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
         if not plain:
             _encoders[path] = slow

@@ -67,7 +67,7 @@ def _distinct(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, n
     return np.bincount(rows[at], minlength=n).astype(float), most
 
 
-def features(column: pa.Array, pieces: int = 1 << 21) -> np.ndarray:
+def features(column: pa.Array, pieces: int = 1 << 19) -> np.ndarray:
     """One row of features per text."""
     data, offsets = buffers(column)
     out, a = [], 0

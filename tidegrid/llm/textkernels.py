@@ -50,6 +50,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def ranges(column: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes each; a longer row has one of its own."""
+    _, offsets = buffers(column)
+    out, a = [], 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and each row's first word (with an end mark)."""
     gap = _SPACE[data]

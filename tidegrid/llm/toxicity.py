@@ -43,13 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, table
-from .textkernels import buffers, mix, span_hashes, words
+from .textkernels import buffers, mix, ranges, span_hashes, words
 from .training import FIT_ROWS, append_score, fit_rows, logistic_line, remainder, sigmoid
 
 LANDMARKS, DECAY, STEPS = 192, 0.5, (1, 2, 3)
 POSITIVES, NEGATIVES, HARD, COST = 3000, 12_000, 3000, 20.0
 LOWEST = -4.0
 MIXED = 5
+PIECES = 1 << 19  # bytes of text worked on at a time
 BEGIN = 63
 
 _LETTERS = np.zeros(256, np.uint8)
@@ -133,7 +134,7 @@ class Model:
             total += weight * np.bincount(unit, self.weights[sub], len(total))
         return total / norms(where) + self.bias
 
-    def highest(self, column: pa.Array, pieces: int = 1 << 21) -> np.ndarray:
+    def highest(self, column: pa.Array, pieces: int = PIECES) -> np.ndarray:
         """The highest margin of each row's units."""
         out = np.full(len(column), LOWEST)
         data, offsets = buffers(column)
@@ -160,7 +161,7 @@ def count_units(rows: DataFrame) -> DataFrame:
     """unit (its letters), toxic, clean: in how many of the rows(text, label) of either label it occurs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, j - i) for x in batches for i, j in ranges(x.column(0), PIECES)):
             data, offsets = buffers(b.column(0))
             label = b.column(1).to_numpy(zero_copy_only=False)
             starts, ends, row = units(data, offsets)
@@ -179,7 +180,7 @@ def count_units(rows: DataFrame) -> DataFrame:
 
 
 def explain(rows: DataFrame, candidates: list[bytes]) -> list[bytes]:
-    """The fewest candidates, greedily, that occur in the toxic rows that hold any; equal rows count once.
+    """The fewest candidates, greedily, that occur in the toxic rows that hold any; equal texts count once.
 
     Then those that occur with at least ``MIXED`` different sets of these: the
     words that one text's copies share always meet the same set.
@@ -187,7 +188,7 @@ def explain(rows: DataFrame, candidates: list[bytes]) -> list[bytes]:
     place = {u: k for k, u in enumerate(candidates)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, j - i) for x in batches for i, j in ranges(x.column(0), PIECES)):
             data, offsets = buffers(b.column(0))
             starts, ends, row = units(data, offsets)
             _, once = np.unique(mix(span_hashes(data, starts, ends) ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
@@ -196,9 +197,10 @@ def explain(rows: DataFrame, candidates: list[bytes]) -> list[bytes]:
             for r, i, j in zip(row[once].tolist(), where[:-1].tolist(), where[1:].tolist(), strict=True):
                 if (k := place.get(whole[i:j])) is not None:
                     held[r].add(k)
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(h) for h in held], pa.list_(pa.int32()))], ["held"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(h) for h in held], pa.list_(pa.int32())), b.column(1)], ["held", "h"])
 
-    lists = rows.where("label = 1").select("text").mapInArrow(work, "held array<int>").where(F.size("held") > 0).distinct()
+    toxic = rows.where("label = 1").select("text", F.xxhash64("text").alias("h"))
+    lists = toxic.mapInArrow(work, "held array<int>, h long").where(F.size("held") > 0).distinct()
     all_ = [set(r[0]) for r in lists.collect()]  # of the toxic among the fitting rows
     open_, least, chosen = all_, 2 if len(all_) < 200 else 3, []
     while open_:
