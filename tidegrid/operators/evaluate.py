@@ -44,15 +44,18 @@ def spikes(series: DataFrame, n: str, value: str, threshold: float, key: str | N
     return series.withColumn("jump", F.col(value) - before).where(F.col("jump") > threshold)
 
 
+MARK = b"MWGT"  # fixed value: the cache format's first four bytes
+
+
 def truth_bytes(ids: np.ndarray, n_base: int) -> bytes:
     """The cache format of ground truth: a mark, three counts and the ids, little-endian."""
     ids = np.asarray(ids, "<u8")
-    return b"MWGT" + struct.pack("<QQQ", n_base, *ids.shape) + ids.tobytes()
+    return MARK + struct.pack("<QQQ", n_base, *ids.shape) + ids.tobytes()
 
 
 def truth_ids(raw: bytes, n_base: int, n_queries: int, k: int) -> np.ndarray | None:
     """The cached ids; None if the cache is of something else."""
-    if raw[:4] != b"MWGT" or len(raw) < 28:
+    if raw[:4] != MARK or len(raw) < 28:
         return None
     if struct.unpack("<QQQ", raw[4:28]) != (n_base, n_queries, k) or len(raw) != 28 + 8 * n_queries * k:
         return None

@@ -35,6 +35,7 @@ class CollectionConfig:
     bucket_duration_secs: int = 0
 
     def validated(self) -> CollectionConfig:
+        # The messages.
         checks = (
             (self.dim > 0, "dim must be > 0"),
             (self.m >= 2, "m must be >= 2"),
