@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidegrid.errors import AlreadyExists, FailedPrecondition, Internal, InvalidArgument, NotFound
+from tidegrid.operators import buckets as B
 from tidegrid.plans.engine import Engine
 from tidegrid.sources import vecs as S
 from tidegrid.sources import wal
@@ -78,6 +79,22 @@ def test_tiers_do_not_change_answers(spark, engine):
     assert not engine.swap_bucket_out("c", 9) and engine.evict_bucket("c", 9) == (False, 0)
 
 
+def test_graph_search(spark, engine):
+    engine.batch_insert("c", rows(spark, TEN))
+    asked = spark.createDataFrame([(k, [float(x) for x in a[0]]) for k, a in enumerate(ASKED)], "query_id long, query array<double>")
+    with pytest.raises(FailedPrecondition):
+        engine.search_graph("c", asked, 3)
+    assert engine.build_graphs("c") == 10
+    for span in ((None, None), (0, 100), (5, 5)):
+        want = engine.search("c", asked, 3, *span).orderBy("query_id", "rank").collect()
+        assert engine.search_graph("c", asked, 3, 20, *span).orderBy("query_id", "rank").collect() == want
+    flip = B.recency("penalty", penalties={0: 1000.0})
+    want = engine.search("c", asked, 2, recency=flip).orderBy("query_id", "rank").collect()
+    assert engine.search_graph("c", asked, 2, 20, recency=flip).orderBy("query_id", "rank").collect() == want
+    engine.evict_bucket("c", 0)
+    assert {r["bucket_seq"] for r in engine.search_graph("c", asked, 3).collect()} == {1}
+
+
 def test_rotation_retention_and_vacuum(spark, engine, tmp_path):
     engine.batch_insert("c", rows(spark, TEN[:1]))
     assert engine.rotate_bucket("c", 100) == 1 and engine.rotate_bucket("c", 205) == 1

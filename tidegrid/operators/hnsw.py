@@ -165,14 +165,16 @@ def build(stored: DataFrame, config: CollectionConfig, shard_rows: int = SHARD_R
     return rows.groupBy("bucket_seq", "shard").applyInPandas(make, NODES)
 
 
-def search(nodes: DataFrame, queries: DataFrame, config: CollectionConfig, k: int, ef: int = 100) -> DataFrame:
+def search(nodes: DataFrame, queries: DataFrame, config: CollectionConfig, k: int, ef: int = 100, recency=None) -> DataFrame:
     """query_id, rank, vector_id, distance, bucket_seq: approximate hits over all graphs in nodes.
 
+    Every bucket gives its k best by plain distance; ``recency`` (of bucket
+    start and distance) adjusts them before the last cut.
     queries(query_id, query) must fit the driver and every task.
     """
     held = queries.select("query_id", "query").toPandas()
     shared = nodes.sparkSession.sparkContext.broadcast((held["query_id"].tolist(), [np.asarray(q, np.float64) for q in held["query"]]))
-    schema = "query_id long, vector_id long, distance double, bucket_seq int"
+    schema = "query_id long, vector_id long, distance double, bucket_seq int, bucket_start long"
 
     def find(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node_id")
@@ -180,12 +182,14 @@ def search(nodes: DataFrame, queries: DataFrame, config: CollectionConfig, k: in
         graph.vectors = np.stack(part["vector"].to_numpy()).astype(np.float64)
         graph.edges = [[list(map(int, lv)) for lv in e] for e in part["neighbors"]]
         graph.entry = int(part["level"].to_numpy().argmax())
-        ids, seq = part["vector_id"].tolist(), int(part["bucket_seq"].iloc[0])
-        hits = [(q, ids[n], d, seq) for q, v in zip(*shared.value, strict=True) for d, n in graph.search(v, k, ef)]
-        return pd.DataFrame(hits, columns=["query_id", "vector_id", "distance", "bucket_seq"])
+        ids, seq, start = part["vector_id"].tolist(), int(part["bucket_seq"].iloc[0]), int(part["bucket_start"].iloc[0])
+        hits = [(q, ids[n], d, seq, start) for q, v in zip(*shared.value, strict=True) for d, n in graph.search(v, k, ef)]
+        return pd.DataFrame(hits, columns=["query_id", "vector_id", "distance", "bucket_seq", "bucket_start"])
 
     hits = nodes.groupBy("bucket_seq", "shard").applyInPandas(find, schema)
-    ranked = top_k(hits, k, ["query_id"], ["distance", "bucket_seq", "vector_id"])
+    if recency:
+        hits = top_k(hits, k, ["query_id", "bucket_seq"], ["distance", "vector_id"]).withColumn("distance", recency(F.col("bucket_start"), F.col("distance")))
+    ranked = top_k(hits.drop("rank"), k, ["query_id"], ["distance", "bucket_seq", "vector_id"])
     return ranked.select("query_id", "rank", "vector_id", "distance", "bucket_seq")
 
 

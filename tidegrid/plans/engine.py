@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound
-from ..functions.buckets import slot_of
+from ..functions.buckets import in_range, slot_of
 from ..operators import buckets as B
+from ..operators import hnsw
 from ..operators import ingest as I
 from ..operators.knn import knn_batch
 from ..shipping import ship
@@ -197,6 +198,36 @@ class Engine:
         hits = knn_batch(rows, queries, k, metric, per=("bucket_seq",), keep=("bucket_seq", "bucket_start"), adjust=adjust, order=("bucket_seq",))
         return hits.select("query_id", "rank", "vector_id", "distance", "bucket_seq")
 
+    # graphs
+
+    def build_graphs(self, name: str) -> int:
+        """Build a graph for every live bucket, for ``search_graph``; the number of nodes."""
+        state = self._get(name)
+        path = f"{self.root}/{name}/graph/batches={state['batches']}"
+        hnsw.build(self.stored(name), CollectionConfig(**state["config"])).write.mode("overwrite").parquet(path)
+        state["graph"] = {"path": path, "batches": state["batches"]}
+        self._put(name, state)
+        return self.spark.read.parquet(path).count()
+
+    def search_graph(
+        self, name: str, queries: DataFrame, k: int, ef: int = 100, range_start: int | None = None, range_end: int | None = None, recency=None
+    ) -> DataFrame:
+        """As ``search``, approximately: the k best of every bucket's graph, then adjusted and merged. ``ef`` below k counts as k."""
+        if k < 1:
+            raise InvalidArgument("k must be at least 1")
+        state = self._get(name)
+        graph = state.get("graph")
+        if graph is None or graph["batches"] != state["batches"]:
+            raise FailedPrecondition("the graphs are not built or older than the last insert")
+        config = CollectionConfig(**state["config"])
+        if not queries.where(F.size("query") != config.dim).isEmpty():
+            raise InvalidArgument(f"a query is not of dimension {config.dim}")
+        live = [b["seq"] for b in state["buckets"].values() if b["tier"] != EVICTED]
+        nodes = self.spark.read.schema(hnsw.NODES).parquet(graph["path"]).where(F.col("bucket_seq").isin(live))
+        nodes = nodes.where(in_range("bucket_start", range_start, range_end, config.duration))
+        hits = hnsw.search(nodes, queries, config, k, ef, recency)
+        return hits.select("query_id", "rank", "vector_id", "distance", "bucket_seq")
+
     # counts
 
     def bucket_metas(self, name: str) -> list[dict]:

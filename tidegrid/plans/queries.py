@@ -593,6 +593,13 @@ def _(s, d):
     return _hits(engine, s, d)
 
 
+@query("engine_graph_search", None)
+def _(s, d):
+    engine = _filled(s, d)
+    engine.build_graphs("vectors")
+    return engine.search_graph("vectors", some(s, d), 10, 64)
+
+
 @query("stream_ingest", "SELECT vector_id, bucket_start, bucket_seq FROM b")
 def _(s, d):
     base = scratch(s)
