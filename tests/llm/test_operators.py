@@ -4,11 +4,11 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from tidegrid.llm import chat, decontaminate, jaccard, lines, pack, passages, pii, textkernels, toxicity, vptree
 from tidegrid.llm.common import connected_components
@@ -80,7 +80,7 @@ def test_jaccard_components(spark, size, percent):
             parent[b] = a
     got = jaccard.components(docs(spark, rows), size, percent).collect()
     assert len(got) == len(rows)
-    unique = {i for i, n in __import__("collections").Counter(i for i, _ in known).items() if n == 1}
+    unique = {i for i, n in Counter(i for i, _ in known).items() if n == 1}
     for x in got:
         if x["doc_id"] in unique:
             assert x["component_id"] == find(x["doc_id"]) and x["n_shingles"] == len(dict(known)[x["doc_id"]])

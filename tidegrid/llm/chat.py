@@ -27,7 +27,6 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 START = "<start>"
 
