@@ -336,6 +336,19 @@ def test_passages(spark):
     assert passages.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_passages_of_hot_lines(spark):
+    rows, want = [], set()
+    for g in range(12):
+        hot = [prose(f"hot{g} {k}", 20) for k in range(3)]
+        rows += [(10 * g + i, "\n".join(prose(f"{g} {i} {k}", 30) + "\n" + hot[(i + 2 * k) % 3] for k in range(3)) + "\n" + prose(f"end {g} {i}", 30)) for i in range(6)]
+        whole, at = " ".join(hot), 1000 + 2 * g
+        rows += [(at, prose(f"{g} a", 40) + " " + whole + " " + prose(f"{g} b", 40)), (at + 1, prose(f"{g} c", 50) + " " + whole + " " + prose(f"{g} d", 50))]
+        want.add((at + 1, at, 50, 110, 40, 100))
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    assert want <= {(x["doc_id"], x["source_doc_id"], x["start"], x["end"], x["source_start"], x["source_end"]) for x in got}
+    assert {(x["doc_id"], x["source_doc_id"]) for x in got} == {x[:2] for x in want}
+
+
 def kernel(a, b):
     def count(u):
         out = {}
