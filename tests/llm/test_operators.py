@@ -349,6 +349,15 @@ def test_passages_of_hot_lines(spark):
     assert {(x["doc_id"], x["source_doc_id"]) for x in got} == {x[:2] for x in want}
 
 
+def test_passages_with_earlier_loose_lines(spark):
+    shared = prose("once", 60)
+    w = shared.split()
+    loose = "\n".join(" ".join(w[k : k + 5]) + " " + prose(400 + k, 60) for k in range(len(w) - 4))
+    rows = [(1, loose + "\n" + shared + "\n" + prose(500, 60)), (2, prose(501, 60) + "\n" + shared)]
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    assert [(x["doc_id"], x["source_doc_id"], x["start"], x["end"]) for x in got] == [(2, 1, 60, 120)]
+
+
 def kernel(a, b):
     def count(u):
         out = {}
