@@ -25,3 +25,9 @@ class FailedPrecondition(EngineError):
 
 class Internal(EngineError):
     kind = "internal"
+
+
+class Aborted(EngineError):
+    """Another writer came between; nothing was changed."""
+
+    kind = "aborted"

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument
 
 
-def validate(rows: DataFrame, dim: int) -> None:
-    """Reject the whole batch if a vector is null, empty or of another dimension, or an id or time is missing."""
+def validate(rows: DataFrame, dim: int) -> tuple[int, int | None, int | None]:
+    """Reject the whole batch if a vector is null, empty or of another dimension, or an id or time is missing; (rows, least id, greatest id)."""
     size = F.size("vector")
     bad = rows.agg(
         F.count_if(F.col("vector").isNull() | (size <= 0)).alias("empty"),
         F.count_if(size != dim).alias("dim"),
         F.count_if(F.col("vector_id").isNull() | F.col("ts").isNull()).alias("missing"),
         F.count_if((F.col("vector_id") < 0) | (F.col("ts") < 0)).alias("negative"),
+        F.count("*").alias("rows"),
+        F.min("vector_id").alias("least"),
+        F.max("vector_id").alias("most"),
     ).first()
     if bad["empty"]:
         raise InvalidArgument(f"{bad['empty']} empty vectors")
@@ -24,6 +27,7 @@ def validate(rows: DataFrame, dim: int) -> None:
         raise InvalidArgument(f"{bad['dim']} vectors are not of dimension {dim}")
     if bad["missing"] or bad["negative"]:
         raise InvalidArgument("ids and times must be given, from 0 to 2**63 - 1")
+    return bad["rows"], bad["least"], bad["most"]
 
 
 def first_wins(rows: DataFrame, key: str = "vector_id", arrival: str = "arrival") -> DataFrame:

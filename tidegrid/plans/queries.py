@@ -8,7 +8,6 @@ is divisible by 100, against all rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +26,7 @@ from ..operators import ingest as I
 from ..operators.knn import knn_batch, knn_single, top_k
 from ..shipping import ship
 from ..sources import vecs
+from ..storage import shared_dir
 from ..streaming.ingest import ingest
 from ..types import CollectionConfig
 from .engine import Engine
@@ -532,9 +532,8 @@ def _(s, d):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/tidegrid-{uuid.uuid4().hex}"
 
 
 def _filled(s: SparkSession, d: str) -> Engine:
