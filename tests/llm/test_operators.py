@@ -384,3 +384,111 @@ def test_string_kernel():
     assert got == pytest.approx([kernel(units[0], u) for u in units])
     starts = toxicity.units(*textkernels.buffers(pa.array(["i d i o t x yy a b", "a", "a b c"])))
     assert [(int(s), int(e)) for s, e in zip(starts[0], starts[1], strict=True) if e - s > 2] == [(0, 11), (19, 24)]
+
+
+def shingle_table(rows):
+    """Per document the numbers of its five-word shingles, in order."""
+    numbers = {}
+    return {i: np.array([numbers.setdefault(tuple(w[k : k + 5]), len(numbers)) for k in range(len(w) - 4)], int) for i, t in rows if len(w := t.lower().split()) >= 50}
+
+
+def alike_windows(x, y, least=46):
+    """Per stretch of ``least`` shingles of x whether y has one whose set is alike by 0.8, both from a common shingle to another, and whether it has the same."""
+    if min(len(x), len(y)) < least:
+        return np.zeros(max(0, len(x) - least + 1), bool), np.zeros(max(0, len(x) - least + 1), bool)
+    same = np.pad((x[:, None] == y[None, :]).astype(np.int32), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+    both = same[least:, least:] - same[:-least, least:] - same[least:, :-least] + same[:-least, :-least]  # shingles are distinct within a text here
+    runs = {tuple(y[k : k + least].tolist()) for k in range(len(y) - least + 1)}
+    u, v = np.isin(x, y), np.isin(y, x)
+    u, v = u[: len(x) - least + 1] & u[least - 1 :], v[: len(y) - least + 1] & v[least - 1 :]
+    return ((both * 10 >= 8 * (2 * least - both)) & u[:, None] & v[None, :]).any(axis=1), np.array([tuple(x[k : k + least].tolist()) in runs for k in range(len(x) - least + 1)])
+
+
+def passage_corpus(seed):
+    """Texts with frequent lines, passages of such lines, near copies of several kinds, and halves that earlier documents hold."""
+    r, rows = random.Random(seed), []
+    fresh = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    hot = [fresh(20) for _ in range(6)]
+    for _ in range(40):  # each frequent line in other surroundings
+        rows.append(sum((fresh(r.randrange(20, 40)) + line for line in r.sample(hot, 3)), []) + fresh(25))
+    for _ in range(12):
+        lines = r.sample(hot, 3)
+        passage = sum(lines, [])
+        for _ in range(3):
+            copy = passage[:]
+            for _ in range(r.choice([0, 0, 1])):
+                copy[r.randrange(len(copy))] = fresh(1)[0]
+            rows.append(fresh(r.randrange(60)) + copy + fresh(r.randrange(60)))
+    for _ in range(30):
+        passage = fresh(r.randrange(52, 100))
+        half = len(passage) // 2
+        for k in range(r.choice([0, 6])):
+            part = passage[:half] if k % 2 else passage[half:]
+            rows.append(fresh(r.randrange(30, 60)) + part + fresh(r.randrange(30, 60)))
+        for _ in range(r.randrange(2, 5)):
+            copy = passage[:]
+            for _ in range(r.choice([0, 1, 2])):
+                at = r.randrange(len(copy))
+                copy[at : at + 1] = r.choice([fresh(1), [], fresh(2)])
+            rows.append(fresh(r.randrange(60)) + copy + fresh(r.randrange(60)))
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_against_all_pairs(spark, seed):
+    """Every exact repeat is found, at least 0.9 of the others, and nothing that is not alike."""
+    rows = passage_corpus(seed)
+    found = {}
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    for x in got:
+        found.setdefault(x["doc_id"], []).append(x)
+    table = shingle_table(rows)
+    exact, near, hit = 0, 0, 0
+    for j, x in table.items():
+        alike, same = np.zeros(max(0, len(x) - 45), bool), np.zeros(max(0, len(x) - 45), bool)
+        for i, y in table.items():
+            if i < j:
+                a, b = alike_windows(x, y)
+                alike, same = alike | a, same | b
+        spans = [(p["start"], p["end"]) for p in found.get(j, [])]
+        for k in np.flatnonzero(same):
+            exact += 1
+            assert any(a <= k and k + 50 <= b for a, b in spans), (j, k)
+        # a near copy is found if a returned passage holds most of a stretch that is alike
+        parts = np.split(np.flatnonzero(alike & ~same), np.flatnonzero(np.diff(np.flatnonzero(alike & ~same)) > 1) + 1)
+        for part in parts:
+            if len(part):
+                near += 1
+                hit += any(min(b, part[-1] + 50) - max(a, part[0]) >= 40 for a, b in spans)
+    words = {i: t.lower().split() for i, t in rows}
+    for p in got:
+        one, two = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words[p["doc_id"]][p["start"] : p["end"]], words[p["source_doc_id"]][p["source_start"] : p["source_end"]]))
+        assert min(p["end"] - p["start"], p["source_end"] - p["source_start"]) >= 50 and len(one & two) >= 0.8 * len(one | two) - 1e-9
+    print(f"exact {exact}, near {hit} of {near}")
+    assert exact > 100 and near > 30 and hit >= 0.9 * near
+
+
+def test_passages_whose_halves_earlier_documents_hold(spark):
+    rows, want = [], set()
+    for g in range(40):
+        passage = prose(f"planted {g}", 60, 10**6).split()
+        for k in range(6):
+            half = passage[:30] if k % 2 else passage[30:]
+            rows.append((10 * g + k, prose(f"{g} {k} a", 40, 10**6) + " " + " ".join(half) + " " + prose(f"{g} {k} b", 40, 10**6)))
+        for k in (7, 8):
+            rows.append((10 * g + k, prose(f"{g} {k} a", 30, 10**6) + " " + " ".join(passage) + " " + prose(f"{g} {k} b", 30, 10**6)))
+        want.add((10 * g + 8, 10 * g + 7, 30, 90))
+    got = {(x["doc_id"], x["source_doc_id"], x["start"], x["end"]) for x in passages.repeated_passages(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_passages_with_moved_halves_and_wide_gaps(spark):
+    one, two = prose("moved", 60, 10**6).split(), prose("gap", 96, 10**6).split()
+    rows = [
+        (1, prose(1, 60, 10**6) + " " + " ".join(one) + " " + prose(2, 60, 10**6)),
+        (2, prose(3, 50, 10**6) + " " + " ".join(one[30:] + one[:30]) + " " + prose(4, 60, 10**6)),
+        (3, prose(5, 50, 10**6) + " " + " ".join(two) + " " + prose(6, 60, 10**6)),
+        (4, prose(7, 50, 10**6) + " " + " ".join(two[:48]) + " " + prose(8, 13, 10**6) + " " + " ".join(two[48:]) + " " + prose(9, 60, 10**6)),
+    ]
+    got = {(x["doc_id"], x["source_doc_id"], x["start"], x["end"]): x["similarity"] for x in passages.repeated_passages(docs(spark, rows)).collect()}
+    assert got == {(2, 1, 50, 110): pytest.approx(52 / 60), (4, 3, 50, 159): pytest.approx(88 / 109)}
