@@ -147,6 +147,19 @@ def test_line_dedup(spark):
     assert lines.duplicate_lines(docs(spark, [])).count() == 0
 
 
+def test_dropping_lines_of_clashing_tables(spark):
+    names = ["_id", "_gone", "line_no", "gone", "id", "row", "Gone", "lines", "a.b"]
+    rows = [(1, "x" * 30 + "\nown line", 38), (2, "x" * 30 + "\nsecond", 37), (2, "quite another line of text\nthird", 32), (3, None, 0), (2, None, 0), (None, "x" * 30, 30)]
+    table = spark.createDataFrame([(*x, *[f"{n}{k}" for n in names]) for k, x in enumerate(rows)], ["doc_id", "text", "n_chars", *names])
+    table = table.drop("Gone").withColumnRenamed("row", "GONE_")
+    got = lines.drop_lines(table, lines.duplicate_lines(table, line_hash=True))
+    assert got.columns == table.columns
+    found = {(x["doc_id"], x["text"], x["n_chars"]): x for x in got.collect()}
+    # the other text of document 2 has another line at that number, and keeps it
+    assert set(found) == {(1, "x" * 30 + "\nown line", 38), (2, "second", 6), (2, "quite another line of text\nthird", 32), (3, None, 0), (2, None, 0), (None, "x" * 30, 30)}
+    assert found[2, "second", 6]["_id"] == "_id1" and found[2, "second", 6]["a.b"] == "a.b1"
+
+
 def test_decontamination(spark):
     items = [(1, prose("i1", 30)), (2, prose("i2", 15)), (3, None), (4, ""), (5, "short one"), (6, prose("i1", 30)), (None, prose("n", 30))]
     one = items[0][1].split()
@@ -251,6 +264,31 @@ def test_vantage_points(spark, n):
         assert [x["vec_id"] for x in one.orderBy("rank").collect()] == want[50]
 
 
+def test_vantage_points_with_many_ties(spark):
+    """Scaled copies of one vector: their cosines differ in the last bits alone, and these decide."""
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=16).astype(np.float32)
+    base = [(i, (one * np.float32(1 + rng.random())).astype(np.float32).astype(float)) for i in range(2000)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in base], "vec_id long, embedding array<double>")
+    got = [(x["vec_id"], x["score"]) for x in vptree.search(vptree.build_index(rows, "vec_id", "embedding"), rows.where("vec_id = 50"), "vec_id", "embedding").orderBy("rank").collect()]
+    table = np.stack([v for _, v in base])
+    score = vptree.cosine(np.broadcast_to(table[50], table.shape), table)
+    assert got == [(int(i), score[i]) for i in np.lexsort((np.arange(2000), -score)) if i != 50][:5]
+
+
+def test_vantage_points_relaxed(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(20, 16))
+    base = [(i, (centre[i % 20] + 0.5 * rng.normal(size=16)).tolist()) for i in range(4000)]
+    rows = spark.createDataFrame(base, "vec_id long, embedding array<double>")
+    index, asked = vptree.build_index(rows, "vec_id", "embedding", shard_rows=1500), rows.where("vec_id % 100 = 0")
+    exact = {(x["query_id"], x["vec_id"]) for x in vptree.search(index, asked, "vec_id", "embedding", 5).collect()}
+    assert exact == {(q, j) for q, near in brute_neighbours(base, 5).items() if q % 100 == 0 for j in near}
+    for factor in (0.95, 0.9):
+        found = {(x["query_id"], x["vec_id"]) for x in vptree.search(index, asked, "vec_id", "embedding", 5, factor).collect()}
+        assert len(found & exact) >= 0.9 * len(exact), factor
+
+
 PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 

@@ -246,9 +246,10 @@ def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     reps = materialize(reps, "reps")
     chosen = maybe_broadcast(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), 48)
-    dealt = full.join(chosen, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sigs").alias("sig")).repartition("sig")
+    dealt = full.join(chosen, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sigs").alias("sig"))
+    # counted by parts before the exchange; the members of a tile then meet its one row, and need no exchange if there are few tiles
     tiles = dealt.groupBy("sig").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1")
-    members = materialize(dealt.join(tiles, "sig"), "tiles")
+    members = materialize(dealt.join(maybe_broadcast(materialize(tiles, "counted"), 32), "sig"), "tiles")
     pairs = materialize(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     edges = materialize(links(pairs, reps, documents, size, percent), "links")
     parts = materialize(connected_components(edges), "components")

@@ -21,7 +21,7 @@ filter loses nothing. Every pair is verified by its edit distance.
 
 Null texts and texts without long lines drop nothing. Rows of a null doc_id
 take no part. Rows with an equal doc_id count as one document: the same line
-at the same number is one line.
+at the same number is one line; another line at that number is one of its own.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table
+from .common import bounded_batches, free_name, materialize, maybe_broadcast, table
 from .textkernels import mix, powers
 
 MIN_CHARS = 20
@@ -90,8 +90,8 @@ def variants(lines: DataFrame) -> DataFrame:
     return lines.select("ref", "line", "sub", "whole", "del").mapInArrow(work, "key long, mark long")
 
 
-def duplicate_lines(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
-    """doc_id, line_no, keeper_doc_id, keeper_line_no, distance of every line to drop."""
+def duplicate_lines(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, line_hash: bool = False) -> DataFrame:
+    """doc_id, line_no, keeper_doc_id, keeper_line_no, distance of every line to drop; with ``line_hash`` its hash, too."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     bounded_batches(documents.sparkSession)
@@ -104,52 +104,72 @@ def duplicate_lines(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits:
     keepers = distinct.where("n > 1").select("h1", "h2", F.col("at.doc_id").alias("keeper_doc_id"), F.col("at.line_no").alias("keeper_line_no"))
     copies = occurrences.select("doc_id", "line_no", "h1", "h2").join(keepers, ["h1", "h2"])
     copies = copies.where("doc_id <> keeper_doc_id or line_no <> keeper_line_no")
-    copies = copies.select("doc_id", "line_no", "keeper_doc_id", "keeper_line_no", F.lit(0).alias("distance")).distinct()
+    copies = copies.select("doc_id", "line_no", "keeper_doc_id", "keeper_line_no", F.lit(0).alias("distance"), F.col("h1").alias("line_hash")).distinct()
     if max_edits == 0:
-        return copies
+        return copies if line_hash else copies.drop("line_hash")
 
     # which distinct lines share a half with another at a fitting length, and how the two may differ
-    halves = distinct.select("at.*", F.inline("halves")).repartition("key")
+    halves = distinct.select("at.*", F.col("h1").alias("check"), F.inline("halves"))
     shared = halves.groupBy("key").agg(F.count_if(F.expr("role = 0")).alias("n0"), F.count_if(F.expr("role = 1")).alias("n1")).where("n0 > 1 or (n0 > 0 and n1 > 0)")
+    shared = maybe_broadcast(materialize(shared, "halves"), 40)  # counted by parts before the exchange: a frequent half is one row
     open_lines = (
         halves.join(shared, "key")
-        .groupBy("doc_id", "line_no")
+        .groupBy("doc_id", "line_no", "check")
         .agg(F.bool_or(F.expr("role = 0 and n0 > 1")).alias("sub"), F.bool_or(F.expr("role = 0 and n1 > 0")).alias("whole"), F.bool_or(F.expr("role = 1 and n0 > 0")).alias("del"))
         .where("sub or whole or del")
     )
     open_lines = materialize(open_lines, "open")
-    wanted = open_lines.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "sub", "whole", "del")).alias("wanted"))
+    wanted = open_lines.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "check", "sub", "whole", "del")).alias("wanted"))
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n").alias("lines")).join(wanted, "doc_id")
     texts = texts.select("doc_id", "lines", F.inline("wanted")).where("line_no < size(lines)").withColumn("line", F.get("lines", "line_no")).drop("lines")
-    texts = texts.dropDuplicates(["doc_id", "line_no"]).repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no")
+    texts = texts.where("xxhash64(line) = check").dropDuplicates(["doc_id", "line_no", "check"])
+    texts = texts.repartitionByRange("doc_id", "line_no", "check").sortWithinPartitions("doc_id", "line_no", "check")
     texts = materialize(texts.withColumn("ref", F.monotonically_increasing_id()), "texts")  # refs ascend with (doc_id, line_no)
 
-    rows = variants(texts).repartition("key")
+    rows = variants(texts)
     ref, longer = F.shiftright("mark", 1), F.col("mark").bitwiseAND(1) == 1
-    least = rows.groupBy("key").agg(F.min(F.when(~longer, ref)).alias("plain"), F.min(F.when(longer, ref)).alias("shortened"), F.count("*").alias("n"))
+    least = rows.groupBy("key").agg(F.min(F.when(~longer, ref)).alias("plain"), F.min(F.when(longer, ref)).alias("shortened"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = maybe_broadcast(materialize(least, "least"), 40)
     # for a shortened line the whole one of its key; for a whole one the shortened; for a replaced code point the earliest
     other = F.when(longer, F.col("plain")).otherwise(F.least("shortened", "plain"))
-    pairs = rows.join(least.where("n > 1"), "key").select(ref.alias("ref"), other.alias("keeper")).where("keeper < ref").distinct()
-    a, b = texts.select("ref", "doc_id", "line_no", "line"), texts.select("ref", "doc_id", "line_no", "line").toDF("keeper", "keeper_doc_id", "keeper_line_no", "kept")
+    pairs = rows.join(least, "key").select(ref.alias("ref"), other.alias("keeper")).where("keeper < ref").distinct()
+    a, b = texts.select("ref", "doc_id", "line_no", "line", "check"), texts.select("ref", "doc_id", "line_no", "line").toDF("keeper", "keeper_doc_id", "keeper_line_no", "kept")
     near = pairs.join(a, "ref").join(b, "keeper").withColumn("distance", F.levenshtein("line", "kept", 1)).where("distance between 1 and 1")
-    near = near.groupBy("doc_id", "line_no").agg(F.min(F.struct("keeper_doc_id", "keeper_line_no", "distance")).alias("k"))
-    return copies.union(near.select("doc_id", "line_no", "k.*"))
+    near = near.groupBy("doc_id", "line_no", "check").agg(F.min(F.struct("keeper_doc_id", "keeper_line_no", "distance")).alias("k"))
+    found = copies.union(near.select("doc_id", "line_no", "k.*", F.col("check").alias("line_hash")))
+    return found if line_hash else found.drop("line_hash")
 
 
 def drop_lines(documents: DataFrame, drops: DataFrame) -> DataFrame:
     """The documents without the dropped lines; n_chars follows.
 
     A document with nothing but white space left goes if a line was dropped
-    from it; all others stay, empty ones included. Extra columns pass through.
+    from it; all others stay, null and empty texts included. Extra columns
+    pass through, whatever their names. Rows that repeat a doc_id lose the
+    lines of those numbers each, or, if drops has the column ``line_hash``
+    (as of ``duplicate_lines``), only the lines that it was made of.
     """
-    gone = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    both = documents.join(gone, documents["doc_id"] == gone["_id"], "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    both = both.withColumn("text", text).where("_gone is null or trim(BOTH ' \t\r\n' FROM text) <> ''")
-    if "n_chars" in documents.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return both.select(*documents.columns)
+    named = "line_hash" in drops.columns
+    places = F.shiftleft(F.col("line_no").cast("long"), 32)
+    hashes = lambda h: h.bitwiseAND(0xFFFFFFFF) if named else F.lit(0).cast("long")
+    id_, gone, row = (free_name(documents, n) for n in ("id", "gone", "row"))
+    lost = drops.groupBy(F.col("doc_id").cast("long").alias(id_)).agg(F.collect_set(places.bitwiseOR(hashes(F.col("line_hash") if named else None))).alias(gone))
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(row))
+    both = whole.join(lost, F.col(f"{row}.doc_id") == F.col(id_), "left")
+    lines = F.split(F.col(f"{row}.text"), "\n")
+    marks = F.transform(lines, lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(hashes(F.xxhash64(x))))
+    kept = F.transform(F.array_except(marks, F.col(gone)), lambda m: F.get(lines, F.shiftright(m, 32).cast("int")))
+    changed = F.col(gone).isNotNull() & F.col(f"{row}.text").isNotNull()
+    text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(f"{row}.text"))
+    out = []
+    for c in documents.columns:
+        if c == "text":
+            out.append(text.alias(c))
+        elif c == "n_chars":
+            out.append(F.when(changed, F.char_length(text).cast(documents.schema[c].dataType)).otherwise(F.col(f"{row}.n_chars")).alias(c))
+        else:
+            out.append(F.col(f"{row}.`{c}`").alias(c))
+    return both.where(~changed | (F.trim(text, F.lit(" \t\r\n")) != "")).select(*out)
 
 
 def query(spark, sf_dir):

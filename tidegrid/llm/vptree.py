@@ -9,9 +9,11 @@ leaves out a side when the triangle inequality puts all of it further than
 ``factor`` times the k-th distance found so far. A factor of one is exact;
 below one more is left out.
 
-Queries come in blocks and meet every shard; each (block, shard) gives its k
-best, merged per query. Equal cosines go to the smaller id. Reported scores
-are computed again in double precision on the vectors as given.
+Queries come in blocks and meet every shard: a task reads a tree once and the
+blocks stream past it. Each (block, shard) gives its k best, merged per query.
+Equal cosines go to the smaller id. Scores are computed in double precision on
+the vectors as given; where more candidates than a few tie up to rounding,
+these scores decide inside the tree as well.
 
 Vectors that are null, empty, all zero or hold null or non-finite components
 take no part, neither do rows without an id nor, per search, candidates of
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table
+from .common import bounded_batches, materialize, maybe_broadcast, table
 
-SHARD, QUERIES, LEAF = 8192, 512, 128
+SHARD, QUERIES, LEAF, TIES = 8192, 512, 128, 64
 SLACK = 1e-9  # of squared chords, for rounding: never prunes or drops a tie
 
 
@@ -74,7 +76,7 @@ class Tree:
         return node
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
-        """Per query the row numbers of the k nearest, and of all that tie with the last up to rounding."""
+        """Per query the row numbers of the k nearest, and of others that tie with the last up to rounding."""
         unit = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
         found = [np.zeros(0, np.int64) for _ in ids]
         cosines = [np.zeros(0) for _ in ids]
@@ -94,8 +96,9 @@ class Tree:
                         last = np.partition(c, len(c) - k)[len(c) - k]
                         keep = c >= last - SLACK
                         rows, c = rows[keep], c[keep]
-                        if len(c) > k + 256:  # ties in number: the smaller ids win among equals
-                            top = np.lexsort((self.ids[rows], -np.round(c, 12)))[: k + 128]
+                        if len(c) > k + TIES:  # decided as the final ranking does it
+                            score = cosine(np.broadcast_to(queries[q], (len(rows), queries.shape[1])), self.vectors[rows])
+                            top = np.lexsort((self.ids[rows], -score))[:k]
                             rows, c = rows[top], c[top]
                     found[q], cosines[q] = rows, c
                     if len(c) >= k:
@@ -156,13 +159,23 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k
         .groupBy("block", "dimension")
         .agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
     )
+    spark = queries.sparkSession
     shards = index.select("shard", "dimension")
-    work = packed.join(shards, "dimension").repartition("shard", "block").join(index, ["shard", "dimension"])
+    # with few trees each goes to several tasks
+    slices = min(blocks, max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, shards.count()))))
+    none = F.lit(None)
+    trees = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("shard", "dimension", "slice", F.lit(-1).cast("long").alias("block"), "tree", none.cast("array<struct<id:long,vector:array<double>>>").alias("queries"))
+    asked = packed.join(maybe_broadcast(shards, 16), "dimension").select("shard", "dimension", F.pmod("block", F.lit(slices)).cast("int").alias("slice"), "block", none.cast("binary").alias("tree"), "queries")
+    key = ["shard", "dimension", "slice"]
+    work = trees.union(asked).repartition(*key).sortWithinPartitions(*key, "block")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for b in batches:
             for qs, blob in zip(b.column("queries"), b.column("tree"), strict=True):
-                tree = pickle.loads(blob.as_py())
+                if blob.is_valid:
+                    tree = pickle.loads(blob.as_buffer())
+                    continue
                 s = qs.values
                 ids = s.field("id").to_numpy()
                 vectors = s.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
