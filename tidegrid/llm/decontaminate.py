@@ -9,6 +9,10 @@ less item position), and along it every word of the overlap is compared:
 alignment is an overlap if it scores ``min_score`` at least: as many words in
 a row, or more with substitutions between them.
 
+Most positions of a text can match no seed, as their neighbouring words stand
+in no item: a bit array of fixed size over the items' neighbouring words tells
+so before any seed is made. Its false hits cost time only.
+
 The hashed seeds of the benchmark are broadcast only if their counted size is
 under 64 MB; beyond it the same join goes by a shuffle.
 
@@ -28,55 +32,76 @@ from .common import materialize, maybe_broadcast, table
 #: Fixed masks: 1 looks at a word, 0 ignores it.
 MASKS = ("11011001", "1010111", "110010011")
 MIN_SCORE = 8
+CELLS = 1 << 14
 
 
 def hashed_words(text: Column | str) -> Column:
     """Hashes of the words of a text; null: none."""
-    parts = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def seeds(words: str, masks: tuple[str, ...]) -> Column:
-    """The seed hashes at the positions 0, 1, ... for the first mask, then the second and so on."""
+def seeds(words: str, masks: tuple[str, ...], starts: list[Column] | None = None) -> Column:
+    """(mask, at, seed) of the masks laid at all positions of the words, or at those of ``starts``, mask by mask."""
 
     def hashes(m: int, mask: str) -> Column:
         looked = [k for k, c in enumerate(mask) if c == "1"]
         last = F.size(words) - F.lit(len(mask))
-        at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(F.lit(m), *[F.get(F.col(words), i + k) for k in looked]))
+        none = F.array().cast("array<int>")
+        at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(none) if starts is None else F.filter(starts[m], lambda i: (i >= 0) & (i <= last))
+        return F.transform(at, lambda i: F.struct(F.lit(m).alias("mask"), i.alias("at"), F.xxhash64(F.lit(m), *[F.get(F.col(words), i + k) for k in looked]).alias("seed")))
 
     return F.flatten(F.array(*[hashes(m, mask) for m, mask in enumerate(masks)]))
 
 
-def seed_rows(rows: DataFrame, key: str, words: str, masks: tuple[str, ...]) -> DataFrame:
-    """key, n (words), rank (of the seed among those of all masks), seed."""
-    return rows.select(key, F.size(words).alias("n"), F.posexplode(seeds(words, masks)).alias("rank", "seed"))
+def _mark(word: Column, after: Column) -> Column:
+    """A number for two neighbouring words."""
+    return word.bitwiseXOR(F.shiftleft(after, 1))
+
+
+def pair_filter(items: DataFrame) -> Column:
+    """A bit array, as a constant, of the neighbouring words of all items: ``CELLS`` numbers of 64 bits, whatever their number."""
+    pairs = items.select(F.inline(F.arrays_zip(F.col("iw").alias("w"), F.slice("iw", 2, F.greatest(F.size("iw"), F.lit(1))).alias("v")))).where("v is not null")
+    mark = _mark(F.col("w"), F.col("v"))
+    cell, bit = mark.bitwiseAND(CELLS - 1), F.shiftrightunsigned(mark, 58)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))
+    rows = pairs.select(cell.alias("cell"), bit.alias("bit")).distinct().groupBy("cell").agg(F.bit_or(one).alias("bits"))
+    cells = [0] * CELLS
+    for r in rows.collect():  # at most CELLS rows
+        cells[r["cell"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, cells))), ",").cast("array<bigint>")
+
 
+def possible_starts(words: str, masks: tuple[str, ...], cells: Column) -> list[Column]:
+    """Per mask the positions where its first and last neighbouring looked-at words stand in some item; all of those where a seed can match."""
 
-def _before(mask: int, masks: tuple[str, ...]) -> Column:
-    """How many seeds come before those of a mask in a text of n words."""
-    return sum((F.greatest(F.lit(0), F.col("n") - len(x) + 1) for x in masks[:mask]), F.lit(0))
+    def known(w: Column, i: Column) -> Column:
+        mark = _mark(w, F.get(F.col(words), i + 1))
+        return F.when(F.getbit(F.get(cells, mark.bitwiseAND(CELLS - 1).cast("int")), F.shiftrightunsigned(mark, 58)) == 1, i)
 
+    def back(k: int) -> Column:
+        return F.transform("hits", lambda p: p - k)
 
-def _position(masks: tuple[str, ...], mask: Column | None = None) -> tuple[Column, Column]:
-    """(mask, position) of a seed, from its rank or for a known mask."""
-    if mask is None:
-        mask = sum((F.when(F.col("rank") >= _before(m, masks), 1).otherwise(0) for m in range(1, len(masks))), F.lit(0))
-    before = F.coalesce(*[F.when(mask == m, _before(m, masks)) for m in range(len(masks))])
-    return mask, F.col("rank") - before
+    hits = F.array_compact(F.transform(words, known))
+    out = []
+    for mask in masks:
+        near = [k for k in range(len(mask) - 1) if mask[k : k + 2] == "11"]
+        out.append(F.array_intersect(back(near[0]), back(near[-1])))
+    return [hits, *out]
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, length, matches, score of the best overlap of each pair that has one."""
+    if not all("11" in mask for mask in masks):
+        raise ValueError("a mask needs two looked-at words side by side")
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), hashed_words("text").alias("iw"))
     items = materialize(items.where(F.size("iw") > 0), "items")
-    mask, at = _position(masks)
-    probes = seed_rows(items, "item_id", "iw", masks).select("item_id", "seed", mask.alias("mask"), at.alias("item_at"))
+    probes = items.select("item_id", F.inline(seeds("iw", masks))).select("item_id", "mask", "seed", F.col("at").alias("item_at"))
     probes = maybe_broadcast(materialize(probes, "probes"), 64)
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = seed_rows(texts.select("doc_id", hashed_words("text").alias("dw")), "doc_id", "dw", masks)
-    at = _position(masks, F.col("mask"))[1]
-    hits = found.join(probes, "seed").select("doc_id", "item_id", (at - F.col("item_at")).alias("shift")).distinct()
+    hits, *starts = possible_starts("dw", masks, pair_filter(items))
+    found = texts.select("doc_id", hashed_words("text").alias("dw")).select("doc_id", "dw", hits.alias("hits"))
+    found = found.select("doc_id", F.inline(seeds("dw", masks, starts)))
+    hits = found.join(probes, ["seed", "mask"]).select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = materialize(hits, "hits")
 
     wanted = hits.groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))
