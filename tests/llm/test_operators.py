@@ -530,3 +530,58 @@ def test_passages_with_moved_halves_and_wide_gaps(spark):
     ]
     got = {(x["doc_id"], x["source_doc_id"], x["start"], x["end"]): x["similarity"] for x in passages.repeated_passages(docs(spark, rows)).collect()}
     assert got == {(2, 1, 50, 110): pytest.approx(52 / 60), (4, 3, 50, 159): pytest.approx(88 / 109)}
+
+
+def test_pii_of_a_very_long_text_takes_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = ",".join(["12"] * n) + "; card 4111.1111.1111.1111; " + ",".join(["4111 1111 1111 1111"] * (n // 20))
+        began = time.perf_counter()
+        (row,) = pii.find(docs(spark, [(1, text)])).collect()
+        assert len(row["base"]) == n // 20 and len(row["added"]) <= 1
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 60
+
+
+def test_pii_overlaps_follow_the_base(spark):
+    """Added spans against a plain sweep: none meets a base span, and of those that meet each other the first stays."""
+    r = random.Random(12)
+    bits = ["call phone 200 555 0100", "+1 (200) 555-0100", "4111 1111 1111 1111", "4111.1111.1111.1111", "10.0.0.1", "10[.]0[.]0[.]1", "a (at) b (dot) com", "x@y.com", " ", "-", "mail "]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(1, 40)))) for i in range(120)] + [(1000 + i, " phone 200 555 01" + f"{i:02}" + " now") for i in range(60)]
+    texts = docs(spark, rows)
+    made = pii.candidates(texts)
+    patterns = [(x["k"], tuple(x["votes"]), x["shape"]) for row in made.collect() for x in row["found"]]
+    weights = pii.fit(sorted((*p, n) for p, n in Counter(patterns).items()))
+    want = {}
+    for row in made.collect():
+        base = [(x["start"], x["end"]) for x in row["found"] if x["ok"]]
+        out = []
+        for x in sorted((x for x in row["found"] if x["loose"]), key=lambda x: (x["start"], x["k"], x["end"])):
+            score = sum(weights.get(f, 0.0) for f in pii.features(x["k"], tuple(x["votes"]), x["shape"]))
+            if score >= 0 and not any(a < x["end"] and x["start"] < b for a, b in base) and (not out or out[-1][2] <= x["start"]):
+                out.append((x["start"], x["k"], x["end"]))
+        want[row["doc_id"]] = out
+    got = {x["doc_id"]: [tuple(s) for s in x["added"]] for x in pii.find(texts).collect()}
+    assert got == want and sum(map(len, want.values())) > 60
+
+
+def test_added_spans_are_right(spark):
+    """Spans of looser forms, labelled by the words before them: what is added, and what is left."""
+    r = random.Random(21)
+    good, bad = ["call me at phone", "our fax is", "mobile", "whatsapp"], ["order", "invoice number", "serial", "score"]
+    rows, real = [], set()
+    for i in range(400):
+        yes = r.random() < 0.6
+        said = r.choice(good if yes else bad)
+        number = f"{r.randrange(200, 999)} {r.randrange(200, 999)} {r.randrange(1000, 9999)}"
+        if not yes:
+            number = f"1{number[1:]}"
+        rows.append((i, f"{prose(i, 12)} {said} {number} {prose(i + 5000, 8)}"))
+        if yes:
+            real.add(i)
+    rows += [(1000 + i, f"phone +1 (200) 555-0{100 + i} and order 12345{i:02}") for i in range(80)]
+    found = {x["doc_id"] for x in pii.find(docs(spark, rows)).collect() if x["added"]}
+    assert len(found & real) >= 0.95 * len(real) and len(found - real) <= 0.05 * len(rows)

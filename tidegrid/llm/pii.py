@@ -13,14 +13,18 @@ expression's own check, a gazetteer (top-level domains, country codes, issuer
 prefixes, reserved address blocks) and the context (words before the span;
 the characters around it). Expectation-maximisation over the counts of the
 vote patterns estimates how reliable each labeler is for each kind, and a
-logistic span classifier over the votes and the span's shape is fitted to the
+logistic span classifier over the votes and the span's shape (its length, what
+stands between its parts and before it) is fitted to the
 resulting probabilities. Looser candidates that it scores at 0.5 or more are
 added unless they overlap a base span or an added one that starts before. Near
 misses teach the labelers' reliability but are never added: a failed check
 digit decides.
 
-The driver sees counts per pattern of votes and shape only: under 4,000 rows,
-whatever the corpus. Every text is read whole, once.
+The driver sees counts per pattern of votes and shape only: at most 4 kinds of
+81 votes and 64 shapes, whatever the corpus. Every text is read whole, once,
+and the work is linear in its length: positions and contexts follow from the
+pieces between the matches of a pattern, so the context of a span begins at
+the match before it.
 
 Null text is empty: a row without spans. Rows that repeat a doc_id are
 returned one by one. The patterns are possessive and start only where a run
@@ -30,6 +34,7 @@ starts, so long runs of one character take linear time and no stack.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,18 +77,60 @@ CONTEXT = (
 REACH = 40
 
 
-def _spans(text: Column, found: Column, pattern: str) -> Column:
-    """(start, end, match) of the matches, from the pieces between them."""
-    pieces = F.split(text, pattern, -1)
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
+SCAN, WIDE = 512, 1 << 16
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cut(items: Column, size: int) -> Column:
+    """The items in blocks; they must be a column or a lambda's variable."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, F.lit(size)))
+
+
+def _scan(items: Column, state: Column, none: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What step puts out along an array: (s: state, o: output so far) and the next item -> the same.
+
+    Appending copies and so does cutting, so the output grows by blocks of
+    blocks: the work is all but linear in the items.
+    """
+
+    def block(acc: Column, own: Column) -> Column:
+        return F.aggregate(own, F.struct(acc["s"].alias("s"), none.alias("o")), step, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o")))
+
+    def run(all_: Column) -> Column:
+        start = F.struct(state.alias("s"), F.slice(F.array(none), F.lit(1), F.lit(0)).alias("o"))
+        blocks = F.flatten(F.transform(_cut(all_, WIDE), lambda wide: _cut(wide, SCAN)))
+        return F.when(F.size(all_) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["o"]))).otherwise(none)
+
+    return _let(items, run)
+
+
+FOUND = "struct<start:int,end:int,m:string,before:string,after:string>"
+
+
+def _spans(pieces: Column, found: Column) -> Column:
+    """The matches with their places, and up to REACH characters before and one after, from the pieces between them: no text is searched again."""
+    return _let(pieces, lambda p: _placed(p, found))
+
+
+def _placed(pieces: Column, found: Column) -> Column:
+    n = F.size(found)
+    last = F.concat(F.array(F.lit("")), F.transform(found, lambda m: F.right(m, F.lit(1))))
+    first = F.concat(F.slice(F.transform(found, lambda m: F.left(m, F.lit(1))), F.lit(2), F.greatest(n, F.lit(1))), F.array(F.lit("")))
+    rows = F.arrays_zip(F.slice(pieces, F.lit(1), n).alias("p"), found.alias("m"), F.slice(pieces, F.lit(2), n).alias("q"), F.slice(last, F.lit(1), n).alias("l"), F.slice(first, F.lit(1), n).alias("f"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["p"])
+        start = acc["s"] + F.char_length(x["p"])
         end = start + F.char_length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
+        before = F.when(x["p"] == "", x["l"]).otherwise(F.right(x["p"], F.lit(REACH)))
+        after = F.when(x["q"] == "", x["f"]).otherwise(F.left(x["q"], F.lit(1)))
+        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), before.alias("before"), after.alias("after")).cast(FOUND)
+        return F.struct(end.alias("s"), F.concat(acc["o"], F.array(one)).alias("o"))
 
-    pairs = F.filter(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: x["m"].isNotNull())
-    return F.aggregate(pairs, none, step, lambda acc: acc["out"])
+    return _scan(rows, F.lit(0), F.array().cast(f"array<{FOUND}>"), step)
 
 
 def _digits(m: Column) -> Column:
@@ -140,18 +187,30 @@ def _votes(kind: int, ok: Column, loose: bool, m: Column, before: Column, around
 CANDIDATE = "struct<start:int,k:int,end:int,ok:boolean,loose:boolean,votes:array<int>,shape:int>"
 
 
-def _candidates(kind: int, loose: bool, text: Column, spans: Column) -> Column:
-    """The spans of one pattern as candidates: votes, and the shape (how long, in four steps)."""
+#: The shape of a span: how long it is, what stands between its parts, and what stands before it.
+SHAPES = (4, 4, 4)
+
+
+def _shape(m: Column, before: Column) -> Column:
+    n, last = F.char_length(m), F.right(before, F.lit(1))
+    length = F.when(n < 12, 0).when(n < 17, 1).when(n < 24, 2).otherwise(3)
+    between = F.when(F.rlike(m, F.lit("[()\\[\\]]")), 3).when(F.contains(m, F.lit(" ")), 2).when(F.rlike(m, F.lit("[-./_]")), 1).otherwise(0)
+    ahead = F.when(last == "", 0).when(F.rlike(last, F.lit("\\s")), 1).when(F.rlike(last, F.lit("[\\p{L}\\p{N}]")), 2).otherwise(3)
+    return (length * SHAPES[1] + between) * SHAPES[2] + ahead
+
+
+def shape_parts(shape: int) -> tuple[int, int, int]:
+    return shape // (SHAPES[1] * SHAPES[2]), shape // SHAPES[2] % SHAPES[1], shape % SHAPES[2]
+
+
+def _candidates(kind: int, loose: bool, spans: Column) -> Column:
+    """The spans of one pattern as candidates: votes, and the shape."""
 
     def make(x: Column) -> Column:
         ok = F.lit(False) if loose else _passes(kind, x["m"])
-        reach = F.least(x["start"], F.lit(REACH))
-        before = F.substring(text, x["start"] - reach + 1, reach)
-        around = F.concat(F.right(before, F.lit(1)), F.substring(text, x["end"] + 1, F.lit(1)))
-        n = F.char_length(x["m"])
-        shape = F.when(n < 12, 0).when(n < 17, 1).when(n < 24, 2).otherwise(3)
-        votes = F.array(*_votes(kind, ok, loose, x["m"], before, around))
-        return F.struct(x["start"], F.lit(kind).alias("k"), x["end"], ok.alias("ok"), F.lit(loose).alias("loose"), votes.alias("votes"), shape.alias("shape"))
+        around = F.concat(F.right(x["before"], F.lit(1)), x["after"])
+        votes = F.array(*_votes(kind, ok, loose, x["m"], x["before"], around))
+        return F.struct(x["start"], F.lit(kind).alias("k"), x["end"], ok.alias("ok"), F.lit(loose).alias("loose"), votes.alias("votes"), _shape(x["m"], x["before"]).alias("shape"))
 
     wanted = spans if loose else F.filter(spans, lambda x: _near_miss(kind, x["m"]))
     return F.transform(wanted, make).cast(f"array<{CANDIDATE}>")
@@ -170,10 +229,10 @@ def candidates(documents: DataFrame) -> DataFrame:
             all_ = F.when(F.contains("t", F.lit(x)), all_).otherwise(none)
         found.append(all_.alias(f"m{k}{int(loose)}"))
     rows = rows.select("doc_id", "t", *found)
-    empty = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    spans = [F.when(F.size(f"m{k}{int(o)}") > 0, _spans(F.col("t"), F.col(f"m{k}{int(o)}"), p)).otherwise(empty).alias(f"s{k}{int(o)}") for k, o, p, _ in forms]
-    rows = rows.select("doc_id", "t", *spans)
-    made = [F.when(F.size(f"s{k}{int(o)}") > 0, _candidates(k, o, F.col("t"), F.col(f"s{k}{int(o)}"))).otherwise(F.array().cast(f"array<{CANDIDATE}>")) for k, o, _, _ in forms]
+    names = [f"{k}{int(o)}" for k, o, _, _ in forms]
+    spans = [F.when(F.size(f"m{n}") > 0, _spans(F.split("t", p, -1), F.col(f"m{n}"))).otherwise(F.array().cast(f"array<{FOUND}>")).alias(f"s{n}") for n, (_, _, p, _) in zip(names, forms, strict=True)]
+    rows = rows.select("doc_id", *spans)
+    made = [F.when(F.size(f"s{n}") > 0, _candidates(k, o, F.col(f"s{n}"))).otherwise(F.array().cast(f"array<{CANDIDATE}>")) for n, (k, o, _, _) in zip(names, forms, strict=True)]
     return rows.select("doc_id", F.concat(*made).alias("found"))
 
 
@@ -232,7 +291,7 @@ def fit(patterns: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 400
 
 
 def features(kind: int, votes: tuple[int, ...], shape: int) -> list[tuple]:
-    return [("kind", kind), ("shape", kind, shape), *(("vote", kind, j, v) for j, v in enumerate(votes))]
+    return [("kind", kind), *(("shape", kind, j, v) for j, v in enumerate(shape_parts(shape))), *(("vote", kind, j, v) for j, v in enumerate(votes))]
 
 
 def _score(x: Column, weights: dict[tuple, float]) -> Column:
@@ -242,13 +301,16 @@ def _score(x: Column, weights: dict[tuple, float]) -> Column:
         return F.get(F.array(*[F.lit(v) for v in values]), at)
 
     get = lambda *f: weights.get(f, 0.0)
-    total = pick(x["k"], [get("kind", k) for k in range(4)]) + pick(x["k"] * 4 + x["shape"], [get("shape", k, s) for k in range(4) for s in range(4)])
+    total = pick(x["k"], [get("kind", k) for k in range(4)])
+    shapes = SHAPES[0] * SHAPES[1] * SHAPES[2]
+    total = total + pick(x["k"] * shapes + x["shape"], [sum(get("shape", k, j, v) for j, v in enumerate(shape_parts(s))) for k in range(4) for s in range(shapes)])
     for j in range(4):
         total = total + pick(x["k"] * 3 + F.get(x["votes"], j) + 1, [get("vote", k, j, v) for k in range(4) for v in (-1, 0, 1)])
     return total
 
 
 SPAN = "struct<start:int,k:int,end:int>"
+MARKED = "struct<start:int,k:int,end:int,loose:boolean,met:boolean>"
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -257,18 +319,35 @@ def find(documents: DataFrame) -> DataFrame:
     counts = made.select(F.explode("found").alias("x")).groupBy("x.k", "x.votes", "x.shape").count()
     patterns = sorted((r["k"], tuple(r["votes"]), r["shape"], r["count"]) for r in counts.collect())
     weights = fit(patterns)
-    bare = lambda x: F.struct(x["start"], x["k"], x["end"])
+    bare = lambda x: F.struct(x["start"], x["k"], x["end"]).cast(SPAN)
     base = F.array_sort(F.transform(F.filter("found", lambda x: x["ok"]), bare))
-    rows = made.select("doc_id", base.alias("base"), F.filter("found", lambda x: x["loose"] & (_score(x, weights) >= 0)).alias("more"))
-    meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
-    free = F.filter("more", lambda x: ~F.exists("base", lambda y: meets(x, y)))
-    rows = rows.select("doc_id", "base", F.array_sort(F.transform(free, bare)).alias("more"))
-    added = F.aggregate(
-        "more",
-        F.array().cast(f"array<{SPAN}>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > x["start"]), acc).otherwise(F.concat(acc, F.array(x.cast(SPAN)))),
-    )
-    return rows.select("doc_id", F.col("base").cast(f"array<{SPAN}>").alias("base"), added.alias("added"))
+    more = F.filter("found", lambda x: x["loose"] & (_score(x, weights) >= 0))
+    rows = made.select("doc_id", base.alias("base"), more.alias("more"))
+    mark = lambda x, loose: F.struct(x["start"], x["k"], x["end"], F.lit(loose).alias("loose"), F.lit(False).alias("met")).cast(MARKED)
+    both = F.array_sort(F.concat(F.transform("base", lambda x: mark(x, False)), F.transform("more", lambda x: mark(x, True))))
+    none = F.array().cast(f"array<{MARKED}>")
+
+    def step(meets: Callable[[Column, Column], Column], carry: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        def run(acc: Column, x: Column) -> Column:
+            now = F.struct(x["start"], x["k"], x["end"], x["loose"], (x["met"] | meets(acc["s"], x)).alias("met")).cast(MARKED)
+            return F.struct(F.when(x["loose"], acc["s"]).otherwise(carry(acc["s"], x)).alias("s"), F.concat(acc["o"], F.array(now)).alias("o"))
+
+        return run
+
+    # what a base span before reaches, then, from the end, what one behind begins in
+    rows = rows.select("doc_id", "base", F.size("more").alias("n"), both.alias("both"))
+    forth = _scan(F.col("both"), F.lit(-1), none, step(lambda s, x: s > x["start"], lambda s, x: F.greatest(s, x["end"])))
+    rows = rows.select("doc_id", "base", "n", F.when(F.col("n") > 0, F.reverse(forth)).otherwise(none).alias("both"))
+    far = F.lit(2**31 - 1)
+    back = _scan(F.col("both"), far, none, step(lambda s, x: s < x["end"], lambda s, x: F.least(s, x["start"])))
+    rows = rows.select("doc_id", "base", F.when(F.col("n") > 0, F.filter(F.reverse(back), lambda x: x["loose"] & ~x["met"])).otherwise(none).alias("free"))
+
+    def take(acc: Column, x: Column) -> Column:
+        fits = x["start"] >= acc["s"]
+        return F.struct(F.when(fits, x["end"]).otherwise(acc["s"]).alias("s"), F.when(fits, F.concat(acc["o"], F.array(bare(x)))).otherwise(acc["o"]).alias("o"))
+
+    added = _scan(F.col("free"), F.lit(0), F.array().cast(f"array<{SPAN}>"), take)
+    return rows.select("doc_id", "base", added.alias("added"))
 
 
 def _written(spans: Column) -> Column:
