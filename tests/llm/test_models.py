@@ -96,3 +96,18 @@ def test_pipeline(spark):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_pipeline_stages_keep_clashing_columns(spark):
+    import corpus_pipeline as P
+
+    names = ["_id", "_gone", "_toxicity", "toxicity", "gone", "a", "component", "rep", "sig"]
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = documents.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in P.STAGES[:-1]:
+        made = stage(spark, docs, SF)
+        assert made.columns == docs.columns, name
+        wrong = made.where(" or ".join(f"`{n}` <> concat('{n} ', doc_id)" for n in names))
+        assert made.count() > 0 and wrong.isEmpty(), name
+        docs = made
+    assert P.STAGES[-1][1](spark, docs, SF).count() > 0

@@ -41,6 +41,13 @@ def encoder(path: str):
     """
     if path not in _encoders:
         import json
+        import os
+
+        given = path
+        if not os.path.exists(path):  # the driver's path: the same file of this machine's installation
+            import public_tokenizers
+
+            path = public_tokenizers.path(os.path.basename(path))
 
         import tiktoken
         from tokenizers import Tokenizer
@@ -57,7 +64,7 @@ def encoder(path: str):
             return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
         if not plain:
-            _encoders[path] = slow
+            _encoders[given] = slow
         else:
             # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
             own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -72,7 +79,8 @@ def encoder(path: str):
                     return slow(text)
                 return bytes(fast._core_bpe.encode_to_tiktoken_buffer(text, set()))
 
-            _encoders[path] = quick
+            _encoders[given] = quick
+        path = given
     return _encoders[path]
 
 
@@ -202,8 +210,8 @@ def pack(
     bounded_batches(documents.sparkSession)
     made = materialize(documents.select("doc_id", "text").mapInArrow(first, SCHEMA), "packed")
     left = made.where("part is not null").withColumn("g", F.floor(F.col("part") / merge))
-    left = left.select("doc_id", "start", "ids", "doc_tokens", "g", F.negative("length").alias("less"))
-    merged = left.repartition("g").sortWithinPartitions("g", "less", "doc_id", "start").drop("less").mapInArrow(again, SCHEMA)
+    left = left.select("doc_id", "start", "ids", "doc_tokens", "g", F.negative("length").alias("less"), F.crc32("ids").alias("crc"))
+    merged = left.repartition("g").sortWithinPartitions("g", "less", "doc_id", "start", "doc_tokens", "crc").drop("less", "crc").mapInArrow(again, SCHEMA)
     return made.where("part is null").union(merged).drop("part")
 
 
