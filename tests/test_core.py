@@ -181,25 +181,28 @@ def test_evaluation(spark):
 
 
 def test_graph_edge_eviction():
+    """A full list takes a nearer neighbour for its farthest one, which loses the way back, and no farther one."""
     g = hnsw.Graph(CollectionConfig(dim=2, m=2, m_max0=2, ef_construction=4))
-    g.vectors = np.array([[0, 0], [100, 0], [200, 0], [1, 0]], float)
-    g.edges = [[[]] for _ in range(4)]
+    g.vectors = np.array([[3, 4], [3, 9], [-9, 4], [3, 5], [8, 8]], float)  # from the first: 5, 12, 1 and 6.4
+    g.edges = [[[]] for _ in range(5)]
     g.edges[1][0], g.edges[2][0] = [0], [0]
     assert g.link(0, 1, 0) and g.link(0, 2, 0) and g.link(0, 3, 0)
-    assert set(g.edges[0][0]) == {1, 3} and g.edges[1][0] == [0] and g.edges[2][0] == []
-    assert not g.link(0, 2, 0)
+    assert sorted(g.edges[0][0]) == [1, 3] and g.edges[1][0] == [0] and g.edges[2][0] == []
+    assert not g.link(0, 2, 0) and not g.link(0, 4, 0) and g.link(0, 1, 0) and sorted(g.edges[0][0]) == [1, 3]
 
 
 def test_graph_recall(spark):
-    base = [[math.sin((i * 8 + j) * 0.03) for j in range(8)] for i in range(200)]
-    asked = [math.cos(j * 0.1) for j in range(8)]
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(200, 8)).tolist()
+    asked = rng.normal(size=(10, 8)).tolist()
     c = CollectionConfig(dim=8, m=8, m_max0=16, ef_construction=128)
     stored = B.sequence(B.assign(vecs(spark, [(i, v, i) for i, v in enumerate(base)]), 100))
     nodes = hnsw.build(stored, c)
-    hits = hnsw.search(nodes, queries(spark, asked), c, 10, 128)
-    truth = knn_batch(stored, queries(spark, asked), 10)
-    assert E.recall_per_query(truth, hits).first()["recall"] >= 0.8
-    assert [r["rank"] for r in hits.orderBy("rank").collect()] == list(range(1, 11))
+    hits = hnsw.search(nodes, queries(spark, *asked), c, 10, 64)
+    truth = knn_batch(stored, queries(spark, *asked), 10)
+    assert E.recall_per_query(truth, hits).agg(F.avg("recall")).first()[0] >= 0.9
+    assert [r["rank"] for r in hits.where("query_id = 3").orderBy("rank").collect()] == list(range(1, 11))
+    assert sum(r["n"] for r in hnsw.level_histogram(nodes).collect()) == 200 and {(r["nodes"], r["dim"]) for r in hnsw.describe(nodes).collect()} == {(100, 8)}
     caps = hnsw.edges(nodes).select(F.max(F.when(F.col("level") == 0, F.size("neighbors"))), F.max(F.when(F.col("level") > 0, F.size("neighbors")))).first()
     assert caps[0] <= 16 and (caps[1] or 0) <= 8
 
@@ -223,3 +226,64 @@ def test_pruning_reaches_the_scan(spark, tmp_path):
     cut = spark.read.parquet(str(tmp_path / "v")).where(in_range("bucket_start", 5, 15, 10)).select("vector_id")
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket_start" in plan and "ReadSchema: struct<vector_id:bigint>" in plan
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e4, 1e7, 1e8])
+def test_knn_far_from_the_origin(spark, offset):
+    rng = np.random.default_rng(8)
+    base, asked = offset + 8 * rng.integers(-50, 50, size=(400, 16)), offset + 8 * rng.integers(-50, 50, size=(5, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base.astype(float))], "vector_id long, vector array<double>").repartition(3)
+    hits = knn_batch(rows, queries(spark, *asked), 10).orderBy("query_id", "rank").collect()
+    for q, v in enumerate(asked):
+        d = ((base - v) ** 2).sum(1)
+        assert [(r["vector_id"], r["distance"]) for r in hits if r["query_id"] == q] == [(i, d[i]) for i in sorted(range(400), key=lambda i: (d[i], i))[:10]]
+
+
+def test_knn_in_chunks_of_queries(spark, monkeypatch):
+    from tidegrid.operators import knn
+
+    rng = np.random.default_rng(5)
+    rows = vecs(spark, [(i, v, i) for i, v in enumerate(rng.normal(size=(60, 4)))])
+    asked = queries(spark, *rng.normal(size=(40, 4)))
+    whole = sorted(map(tuple, knn_batch(rows, asked, 3).collect()))
+    made = list(knn.query_chunks(asked, "query_id", 40, 8))
+    assert len(made) > 3 and sorted(i for m in made for i in m["query_id"]) == list(range(40))
+    monkeypatch.setattr(knn, "query_chunks", lambda rows, key, count, chunk: iter(made))
+    assert sorted(map(tuple, knn_batch(rows, asked, 3).collect())) == whole
+
+
+def test_indexes_stand_for_each_other(spark, tmp_path):
+    from tidegrid.operators import index
+
+    rng = np.random.default_rng(6)
+    rows = B.sequence(B.assign(vecs(spark, [(i, v, i) for i, v in enumerate(rng.normal(size=(240, 6)))]), 120))
+    asked = queries(spark, *rng.normal(size=(8, 6)))
+    c = CollectionConfig(dim=6, m=8, m_max0=16, ef_construction=64)
+    for metric in ("l2sq", "cosine", "neg_dot"):
+        truth, graph = index.ExactIndex(metric), index.GraphIndex(c, str(tmp_path / metric), 120, metric)
+        for one in (truth, graph):
+            one.build(rows)
+        found = E.recall_per_query(truth.search(asked, 10), graph.search(asked, 10)).agg(F.avg("recall")).first()[0]
+        assert found >= 0.9, metric
+    cells = index.CellIndex(6, 6)
+    truth = index.ExactIndex()
+    for one in (truth, cells):
+        one.build(rows)
+    columns = ["query_id", "rank", "vector_id", "distance"]
+    assert sorted(map(tuple, cells.search(asked, 5).select(columns).collect())) == sorted(map(tuple, truth.search(asked, 5).select(columns).collect()))
+    with pytest.raises(InvalidArgument):
+        hnsw.Graph(c, "manhattan")
+
+
+def test_truth_cache_and_series(spark, tmp_path):
+    rows = vecs(spark, [(i, [i, 0], i) for i in range(30)])
+    asked = queries(spark, [3.2, 0], [20.1, 0])
+    path = str(tmp_path / "truth.bin")
+    ids = E.ground_truth(rows, asked, 3, path)
+    assert ids.tolist() == [[3, 4, 2], [20, 21, 19]] and (E.ground_truth(rows.limit(30), asked, 3, path) == ids).all()
+    (tmp_path / "truth.bin").write_bytes(E.truth_bytes(np.full((2, 3), 7), 30))
+    assert (E.ground_truth(rows, asked, 3, path) == 7).all() and E.ground_truth(rows.where("vector_id < 29"), asked, 3, path).tolist() == ids.tolist()
+    series = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, 7.0)], "n int, rss double")
+    assert tuple(E.series_summary(series, "n", "rss").first()) == (5.0, 7.0, 5.0, 9.0, 2.0)
+    now, most = E.resident_bytes()
+    assert 0 < now <= most

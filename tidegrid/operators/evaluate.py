@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..functions.vectors import recall_at_k
+from .knn import knn_batch
 
 
 def recall_per_query(truth: DataFrame, found: DataFrame, id_col: str = "vector_id") -> DataFrame:
@@ -62,6 +63,38 @@ def truth_ids(raw: bytes, n_base: int, n_queries: int, k: int) -> np.ndarray | N
     return np.frombuffer(raw, "<u8", offset=28).reshape(n_queries, k)
 
 
+def ground_truth(corpus: DataFrame, queries: DataFrame, k: int, path: str) -> np.ndarray:
+    """The ids of each query's k nearest, queries by id: from the cache file if it is of these counts, else computed and cached."""
+    from ..sources.vecs import open_files
+
+    n_base, n_queries = corpus.count(), queries.count()
+    fs, at = open_files(path)
+    if fs.get_file_info(at).is_file:
+        with fs.open_input_file(at) as f:
+            if (held := truth_ids(f.read(), n_base, n_queries, min(k, n_base))) is not None:
+                return held
+    rows = knn_batch(corpus, queries, k).orderBy("query_id", "rank").select("vector_id").toPandas()  # k ids a query
+    ids = rows["vector_id"].to_numpy().reshape(n_queries, -1)
+    with fs.open_output_stream(f"{at}.tmp") as f:
+        f.write(truth_bytes(ids, n_base))
+    fs.move(f"{at}.tmp", at)
+    return ids
+
+
+def series_summary(series: DataFrame, n: str, value: str, key: str | None = None) -> DataFrame:
+    """Per key the first, last, least and greatest value of a series, and its growth from first to last."""
+    first, last = F.min_by(value, n), F.max_by(value, n)
+    made = [first.alias("first"), last.alias("last"), F.min(value).alias("least"), F.max(value).alias("peak"), (last - first).alias("growth")]
+    return series.groupBy(*([key] if key else [])).agg(*made)
+
+
+def resident_bytes() -> tuple[int, int]:
+    """This process's memory in use now and at most."""
+    with open("/proc/self/status") as f:
+        found = {k: int(v.split()[0]) << 10 for k, v in (line.split(":", 1) for line in f) if k in ("VmRSS", "VmHWM")}
+    return found["VmRSS"], found["VmHWM"]
+
+
 def require_recall(found: float, least: float) -> float:
     if found < least:
         raise InvalidArgument(f"recall {found} is below {least}")

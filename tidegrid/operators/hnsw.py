@@ -15,18 +15,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidArgument
 from ..types import CollectionConfig
-from .knn import top_k
+from .knn import QUERY_MB, query_chunks, top_k
 
 MAX_LEVEL, BEAM, BEAM_LEVELS, PENALTY = 32, 5, 3, 0.8
 SHARD_ROWS = 20_000
 
 
+def _l2sq(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    gap = rows - query
+    return np.einsum("ij,ij->i", gap, gap)
+
+
+def _cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    both = np.sqrt(np.einsum("ij,ij->i", rows, rows) * (query @ query))
+    return np.where(both == 0, 1.0, 1.0 - rows @ query / np.where(both == 0, 1.0, both))
+
+
+#: What a graph's edges are measured by.
+GAPS = {"l2sq": _l2sq, "cosine": _cosine, "neg_dot": lambda rows, query: -(rows @ query)}
+
+
 class Graph:
     """Nodes in insertion order; ``edges[node][level]`` are neighbour lists of bounded length."""
 
-    def __init__(self, config: CollectionConfig) -> None:
-        self.config = config
+    def __init__(self, config: CollectionConfig, metric: str = "l2sq") -> None:
+        if metric not in GAPS:
+            raise InvalidArgument(f"no graph by {metric!r}; known: {', '.join(GAPS)}")
+        self.config, self.gap = config, GAPS[metric]
         self.vectors = np.zeros((16, config.dim))
         self.edges: list[list[list[int]]] = []
         self.entry: int | None = None
@@ -38,8 +55,7 @@ class Graph:
         return self.config.m_max0 if level == 0 else self.config.m
 
     def distances(self, query: np.ndarray, nodes: list[int]) -> np.ndarray:
-        gap = self.vectors[nodes] - query
-        return np.einsum("ij,ij->i", gap, gap)
+        return self.gap(self.vectors[nodes], query)
 
     def descend(self, query: np.ndarray, node: int, level: int) -> int:
         """The local minimum reached from a node by always going to the closest neighbour."""
@@ -144,7 +160,7 @@ def level_of(vector_id: int, m: int) -> int:
 NODES = "bucket_seq int, bucket_start long, shard int, node_id int, vector_id long, level int, vector array<double>, neighbors array<array<int>>"
 
 
-def build(stored: DataFrame, config: CollectionConfig, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build(stored: DataFrame, config: CollectionConfig, shard_rows: int = SHARD_ROWS, metric: str = "l2sq") -> DataFrame:
     """The graphs of stored(bucket_seq, bucket_start, ts, vector_id, vector), a row per node."""
     most = stored.groupBy("bucket_seq").count().agg(F.max("count")).first()[0] or 1
     shards = -(-most // shard_rows)
@@ -152,7 +168,7 @@ def build(stored: DataFrame, config: CollectionConfig, shard_rows: int = SHARD_R
 
     def make(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["ts", "vector_id"], kind="stable")
-        graph = Graph(config)
+        graph = Graph(config, metric)
         for i, v in zip(part["vector_id"], part["vector"], strict=True):
             graph.add(np.asarray(v, np.float64), level_of(int(i), config.m))
         out = part[["bucket_seq", "bucket_start", "shard", "vector_id"]].reset_index(drop=True)
@@ -165,20 +181,31 @@ def build(stored: DataFrame, config: CollectionConfig, shard_rows: int = SHARD_R
     return rows.groupBy("bucket_seq", "shard").applyInPandas(make, NODES)
 
 
-def search(nodes: DataFrame, queries: DataFrame, config: CollectionConfig, k: int, ef: int = 100, recency=None) -> DataFrame:
+def search(nodes: DataFrame, queries: DataFrame, config: CollectionConfig, k: int, ef: int = 100, recency=None, metric: str = "l2sq") -> DataFrame:
     """query_id, rank, vector_id, distance, bucket_seq: approximate hits over all graphs in nodes.
 
     Every bucket gives its k best by plain distance; ``recency`` (of bucket
     start and distance) adjusts them before the last cut.
-    queries(query_id, query) must fit the driver and every task.
+    queries(query_id, query) go to every task in chunks of bounded size.
     """
-    held = queries.select("query_id", "query").toPandas()
-    shared = nodes.sparkSession.sparkContext.broadcast((held["query_id"].tolist(), [np.asarray(q, np.float64) for q in held["query"]]))
+    rows = queries.select(F.col("query_id").cast("long"), "query")
+    chunk = max(1, (QUERY_MB << 20) // (8 * config.dim))
     schema = "query_id long, vector_id long, distance double, bucket_seq int, bucket_start long"
+    hits = nodes.sparkSession.createDataFrame([], schema)
+    for held in query_chunks(rows, "query_id", rows.count(), chunk):
+        hits = hits.union(_ask(nodes, held, config, k, ef, metric, schema))
+    if recency:
+        hits = top_k(hits, k, ["query_id", "bucket_seq"], ["distance", "vector_id"]).withColumn("distance", recency(F.col("bucket_start"), F.col("distance")))
+    ranked = top_k(hits.drop("rank"), k, ["query_id"], ["distance", "bucket_seq", "vector_id"])
+    return ranked.select("query_id", "rank", "vector_id", "distance", "bucket_seq")
+
+
+def _ask(nodes: DataFrame, held: pd.DataFrame, config: CollectionConfig, k: int, ef: int, metric: str, schema: str) -> DataFrame:
+    shared = nodes.sparkSession.sparkContext.broadcast((held["query_id"].tolist(), [np.asarray(q, np.float64) for q in held["query"]]))
 
     def find(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node_id")
-        graph = Graph(config)
+        graph = Graph(config, metric)
         graph.vectors = np.stack(part["vector"].to_numpy()).astype(np.float64)
         graph.edges = [[list(map(int, lv)) for lv in e] for e in part["neighbors"]]
         graph.entry = int(part["level"].to_numpy().argmax())
@@ -186,11 +213,18 @@ def search(nodes: DataFrame, queries: DataFrame, config: CollectionConfig, k: in
         hits = [(q, ids[n], d, seq, start) for q, v in zip(*shared.value, strict=True) for d, n in graph.search(v, k, ef)]
         return pd.DataFrame(hits, columns=["query_id", "vector_id", "distance", "bucket_seq", "bucket_start"])
 
-    hits = nodes.groupBy("bucket_seq", "shard").applyInPandas(find, schema)
-    if recency:
-        hits = top_k(hits, k, ["query_id", "bucket_seq"], ["distance", "vector_id"]).withColumn("distance", recency(F.col("bucket_start"), F.col("distance")))
-    ranked = top_k(hits.drop("rank"), k, ["query_id"], ["distance", "bucket_seq", "vector_id"])
-    return ranked.select("query_id", "rank", "vector_id", "distance", "bucket_seq")
+    return nodes.groupBy("bucket_seq", "shard").applyInPandas(find, schema)
+
+
+def level_histogram(nodes: DataFrame) -> DataFrame:
+    """level, n: how many nodes have that level as their highest."""
+    return nodes.groupBy("level").agg(F.count("*").alias("n"))
+
+
+def describe(nodes: DataFrame) -> DataFrame:
+    """bucket_seq, shard, nodes, dim, top_level, entry: the size of every graph and the node that a search starts from."""
+    first = F.min_by("vector_id", F.struct(F.negative("level"), "node_id"))
+    return nodes.groupBy("bucket_seq", "shard").agg(F.count("*").alias("nodes"), F.max(F.size("vector")).alias("dim"), F.max("level").alias("top_level"), first.alias("entry"))
 
 
 def edges(nodes: DataFrame) -> DataFrame:

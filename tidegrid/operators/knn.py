@@ -24,6 +24,7 @@ from ..types import METRICS
 
 QUERY_MB = 256
 SLACK = 1e-6
+EPS = float(np.finfo(np.float64).eps)
 
 
 def top_k(hits: DataFrame, k: int, keys: list[str | Column], order: list[str | Column], name: str = "rank") -> DataFrame:
@@ -72,15 +73,24 @@ def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return total
 
 
-def _rough(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
-    """Ascending with the distance, by one matrix product."""
+def _rough(queries: np.ndarray, block: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending with the distance, by one matrix product, and per query how far rounding can put it off.
+
+    Differences are taken from the queries' middle, so that an offset that all
+    vectors share costs no digits.
+    """
+    middle = queries.mean(axis=0) if metric in ("l2sq", "l2") else 0.0
+    lost = 4 * EPS * float(np.abs(middle).max(initial=0.0)) * np.sqrt(queries.shape[1])
+    queries, block = queries - middle, block - middle
     product = queries @ block.T
+    qq, bb = (queries * queries).sum(axis=1), (block * block).sum(axis=1)
+    most = bb.max(initial=0.0)
     if metric in ("l2sq", "l2"):
-        return (queries * queries).sum(axis=1)[:, None] + (block * block).sum(axis=1)[None, :] - 2 * product
+        return qq[:, None] + bb[None, :] - 2 * product, 8 * queries.shape[1] * EPS * (qq + most) + 4 * lost * (np.sqrt(qq) + np.sqrt(most))
     if metric == "cosine":
-        norm = np.sqrt((queries * queries).sum(axis=1))[:, None] * np.sqrt((block * block).sum(axis=1))[None, :]
-        return np.where(norm == 0, 1.0, 1.0 - product / np.where(norm == 0, 1.0, norm))
-    return -product
+        norm = np.sqrt(qq)[:, None] * np.sqrt(bb)[None, :]
+        return np.where(norm == 0, 1.0, 1.0 - product / np.where(norm == 0, 1.0, norm)), np.full(len(qq), 8 * queries.shape[1] * EPS)
+    return -product, 8 * queries.shape[1] * EPS * np.sqrt(qq * most)
 
 
 def knn_batch(
@@ -118,9 +128,7 @@ def knn_batch(
         return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
     chunk = max(1, (QUERY_MB << 20) // (8 * max(1, width)))
     found = None
-    for start in range(0, count, chunk):
-        part = rows if count <= chunk else rows.orderBy(query_id).offset(start).limit(chunk)
-        held = part.toPandas()  # at most QUERY_MB
+    for held in query_chunks(rows, query_id, count, chunk):
         made = _scan(corpus, held[query_id].to_numpy(), np.stack(held[query_col].to_numpy()).astype(np.float64), k, metric, id_col, vector_col, columns, per, exclude_self, schema)
         found = made if found is None else found.unionByName(made)
     ties = [*order, id_col]
@@ -131,6 +139,18 @@ def knn_batch(
     return top_k(found, k, [query_id], ["distance", *ties]).select(query_id, "rank", id_col, "distance", *columns)
 
 
+def query_chunks(rows: DataFrame, query_id: str, count: int, chunk: int):
+    """The queries as pandas tables of about ``chunk`` rows at most, dealt by a hash of the id: one id is in one of them."""
+    if count <= chunk:
+        yield rows.toPandas()
+        return
+    chunks = 2 * -(-count // chunk)
+    for k in range(chunks):
+        held = rows.where(F.pmod(F.xxhash64(query_id), F.lit(chunks)) == k).toPandas()
+        if len(held):
+            yield held
+
+
 def _scan(corpus, ids, matrix, k, metric, id_col, vector_col, columns, per, exclude_self, schema) -> DataFrame:
     spark = corpus.sparkSession
     shared = spark.sparkContext.broadcast((ids, matrix))
@@ -153,12 +173,12 @@ def _scan(corpus, ids, matrix, k, metric, id_col, vector_col, columns, per, excl
             who, at = [], []
             for lo in range(0, len(ids), 1024):
                 for g in groups:
-                    rough = _rough(matrix[lo : lo + 1024], block[g], metric)
+                    rough, off = _rough(matrix[lo : lo + 1024], block[g], metric)
                     if exclude_self:
                         rough[ids[lo : lo + 1024, None] == own[None, g]] = np.inf
                     if len(g) > k:
                         last = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-                        q, c = np.nonzero(rough <= last + SLACK * (1 + np.abs(last)))
+                        q, c = np.nonzero(rough <= last + SLACK * np.abs(last) + off[:, None])
                     else:
                         q, c = np.nonzero(rough < np.inf)
                     fine = rough[q, c] < np.inf

@@ -16,14 +16,14 @@ from ..errors import InvalidArgument
 RECORDS = 8192
 
 
-def _files(path: str) -> tuple[pafs.FileSystem, str]:
+def open_files(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 def _paths(path: str) -> list[tuple[str, int]]:
-    fs, at = _files(path)
+    fs, at = open_files(path)
     info = fs.get_file_info(at)
     if info.type == pafs.FileType.Directory:
         return sorted((i.path, i.size) for i in fs.get_file_info(pafs.FileSelector(at)) if i.is_file)
@@ -47,17 +47,21 @@ class Part(InputPartition):
 
 
 class VecsReader(DataSourceReader):
-    """Parts are ranges of whole records; a part ends at the first record of another length."""
+    """Parts are ranges of whole records. A record of another length is an error; with ``malformed=skip`` it ends its part.
+
+    A cut-off record at the end of a file is left out.
+    """
 
     def __init__(self, options: dict, kind: str) -> None:
         self.kind, self.path = kind, options["path"]
         self.dim = int(options["dim"]) if "dim" in options else None
         self.limit = int(options["limit"]) if "limit" in options else None
+        self.skip = options.get("malformed", "fail") == "skip"
         self.per_part = int(options.get("records_per_partition", 262_144))
 
     def partitions(self) -> list[Part]:
         out, base = [], 0
-        fs, _ = _files(self.path)
+        fs, _ = open_files(self.path)
         for path, size in _paths(self.path):
             with fs.open_input_file(path) as f:
                 dim = record_width(f.read(4))
@@ -73,7 +77,7 @@ class VecsReader(DataSourceReader):
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if not part.count:
             return
-        fs, _ = _files(self.path)
+        fs, _ = open_files(self.path)
         width, kind = 4 + 4 * part.dim, "<f4" if self.kind == "fvecs" else "<i4"
         with fs.open_input_file(part.path) as f:
             f.seek(part.first * width)
@@ -82,6 +86,8 @@ class VecsReader(DataSourceReader):
                 raw = np.frombuffer(f.read(n * width), np.uint8)
                 raw = raw[: len(raw) // width * width].reshape(-1, width)
                 odd = np.flatnonzero(raw[:, :4].copy().view("<i4")[:, 0] != part.dim)
+                if len(odd) and not self.skip:
+                    raise InvalidArgument(f"{part.path}: record {part.first + k + int(odd[0])} is not of {part.dim} values")
                 good = raw[: odd[0]] if len(odd) else raw
                 values = np.ascontiguousarray(good[:, 4:]).view(kind).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1, dtype=np.int32) * part.dim), pa.array(values))
@@ -100,7 +106,7 @@ class VecsWriter(DataSourceWriter):
     def write(self, rows) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        fs, at = _files(self.path)
+        fs, at = open_files(self.path)
         fs.create_dir(at)
         kind = "<f4" if self.kind == "fvecs" else "<i4"
         with fs.open_output_stream(f"{at}/part-{TaskContext.get().partitionId():05d}.{self.kind}") as f:
@@ -133,6 +139,11 @@ class Ivecs(Fvecs):
     KIND, VALUE = "ivecs", "int"
 
 
+def count(path: str) -> int:
+    """The whole records of a file or folder, from the sizes and the first headers alone."""
+    return sum(part.count for part in VecsReader({"path": path}, "fvecs").partitions())
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Fvecs)
     spark.dataSource.register(Ivecs)

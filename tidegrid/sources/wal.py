@@ -72,6 +72,25 @@ def read(spark: SparkSession, folder: str, after: int = -1) -> DataFrame:
     return files.mapInArrow(rows, ROWS)
 
 
+def write(rows: DataFrame, folder: str) -> int:
+    """A file per sequence number from rows(seq, position, vector_id, ts, vector); how many. An entry is written by one task, whole or not at all."""
+
+    def entry(key: tuple, part: pa.Table) -> pa.Table:
+        from .vecs import open_files
+
+        part = part.sort_by("position")
+        seq = key[0].as_py()
+        raw = encode(seq, list(zip(part["vector"].to_pylist(), part["ts"].to_pylist(), part["vector_id"].to_pylist(), strict=True)))
+        fs, at = open_files(folder)
+        fs.create_dir(at)
+        with fs.open_output_stream(f"{at}/.{seq:020}.tmp") as f:
+            f.write(raw)
+        fs.move(f"{at}/.{seq:020}.tmp", f"{at}/{seq:020}.wal")
+        return pa.table({"seq": [seq]})
+
+    return rows.groupBy("seq").applyInArrow(entry, "seq long").count()
+
+
 def parse_log(spark: SparkSession, path: str, pattern: str, names: list[str]) -> DataFrame:
     """Lines of a benchmark log that match, one double column per group."""
     lines = spark.read.text(path).where(F.rlike("value", F.lit(pattern)))
