@@ -11,8 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import euclidean_distance_sq
-from .knn import top_k
+from .knn import knn_batch
 
 
 def train(corpus: DataFrame, cells: int, vector_col: str = "vector", seed: int = 7, rounds: int = 10) -> np.ndarray:
@@ -37,8 +36,5 @@ def assign(corpus: DataFrame, centres: np.ndarray, vector_col: str = "vector", n
 
 
 def search(corpus: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probe: int, id_col: str = "vector_id", vector_col: str = "vector") -> DataFrame:
-    """query_id, rank, id, distance of the k nearest in the probed cells."""
-    cells = assign(corpus.select(id_col, vector_col), centres, vector_col).withColumn("cell", F.get("cell", F.lit(0)))
-    probes = assign(queries.select("query_id", "query"), centres, "query", probe).withColumn("cell", F.explode("cell"))
-    met = cells.join(probes, "cell").select("query_id", id_col, euclidean_distance_sq("query", vector_col).alias("distance"))
-    return top_k(met, k, ["query_id"], ["distance", id_col]).select("query_id", "rank", id_col, "distance")
+    """query_id, rank, id, distance of the k nearest in the probed cells. The corpus stays where it is."""
+    return knn_batch(corpus, queries, k, id_col=id_col, vector_col=vector_col, cells=(centres, probe))

@@ -107,12 +107,14 @@ def knn_batch(
     per: tuple[str, ...] = (),
     adjust: Column | None = None,
     order: tuple[str, ...] = (),
+    cells: tuple[np.ndarray, int] | None = None,
 ) -> DataFrame:
     """query_id, rank, id, distance (and the kept corpus columns) of each query's k nearest.
 
     ``per``: corpus columns within which the first cut to k is made (such as
     the bucket). ``adjust``: a Column of "distance" and kept columns that
-    replaces the distance before the last cut. Ties go to ``order``, then the
+    replaces the distance before the last cut. ``cells``: centres, and how many
+    of their cells a query looks into. Ties go to ``order``, then the
     id. Vectors of another dimension than the queries' raise an error.
     """
     if k < 1:
@@ -129,7 +131,7 @@ def knn_batch(
     chunk = max(1, (QUERY_MB << 20) // (8 * max(1, width)))
     found = None
     for held in query_chunks(rows, query_id, count, chunk):
-        made = _scan(corpus, held[query_id].to_numpy(), np.stack(held[query_col].to_numpy()).astype(np.float64), k, metric, id_col, vector_col, columns, per, exclude_self, schema)
+        made = _scan(corpus, held[query_id].to_numpy(), np.stack(held[query_col].to_numpy()).astype(np.float64), k, metric, id_col, vector_col, columns, per, exclude_self, schema, cells)
         found = made if found is None else found.unionByName(made)
     ties = [*order, id_col]
     if per:
@@ -151,12 +153,18 @@ def query_chunks(rows: DataFrame, query_id: str, count: int, chunk: int):
             yield held
 
 
-def _scan(corpus, ids, matrix, k, metric, id_col, vector_col, columns, per, exclude_self, schema) -> DataFrame:
+def _scan(corpus, ids, matrix, k, metric, id_col, vector_col, columns, per, exclude_self, schema, cells) -> DataFrame:
     spark = corpus.sparkSession
     shared = spark.sparkContext.broadcast((ids, matrix))
 
+    def far(vectors: np.ndarray) -> np.ndarray:
+        return (cells[0] * cells[0]).sum(axis=1)[None, :] - 2 * vectors @ cells[0].T
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
+        if cells:
+            open_ = np.zeros((len(ids), len(cells[0])), bool)
+            np.put_along_axis(open_, np.argsort(far(matrix), axis=1, kind="stable")[:, : cells[1]], True, axis=1)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -170,12 +178,15 @@ def _scan(corpus, ids, matrix, k, metric, id_col, vector_col, columns, per, excl
             if per:
                 names = b.select([2 + columns.index(c) for c in per]).to_pandas()
                 groups = [np.sort(g) for g in names.groupby(list(per), dropna=False).indices.values()]
+            cell = far(block).argmin(axis=1) if cells else None
             who, at = [], []
             for lo in range(0, len(ids), 1024):
                 for g in groups:
                     rough, off = _rough(matrix[lo : lo + 1024], block[g], metric)
                     if exclude_self:
                         rough[ids[lo : lo + 1024, None] == own[None, g]] = np.inf
+                    if cells:
+                        rough[~open_[lo : lo + 1024][:, cell[g]]] = np.inf
                     if len(g) > k:
                         last = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
                         q, c = np.nonzero(rough <= last + SLACK * np.abs(last) + off[:, None])

@@ -12,10 +12,12 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import FailedPrecondition
 from ..functions import codecs as C
 from ..functions import vectors as V
 from ..functions.buckets import in_range, slot
@@ -25,7 +27,7 @@ from ..operators import hnsw, ivf
 from ..operators import ingest as I
 from ..operators.knn import knn_batch, knn_single, top_k
 from ..shipping import ship
-from ..sources import vecs
+from ..sources import vecs, wal
 from ..storage import shared_dir
 from ..streaming.ingest import ingest
 from ..types import CollectionConfig
@@ -421,38 +423,6 @@ def _(s, d):
     return kept.groupBy("bucket_seq").agg(F.count("*").alias("n"))
 
 
-@query("dirty_counts", "SELECT bucket_seq, count(*) - coalesce(max(CASE WHEN bucket_seq < 2 THEN 100 END), 0) AS dirty FROM b GROUP BY 1")
-def _(s, d):
-    rows = stored(s, d)
-    clean = rows.where("bucket_seq < 2").select("bucket_seq").distinct().withColumn("clean", F.lit(100).cast("long"))
-    return I.dirty(rows, clean)
-
-
-# recovery: the log holds the vectors in entries of 50, the snapshot the first half
-
-
-def _log(s: SparkSession, d: str) -> DataFrame:
-    return vectors(s, d).select("vector_id", "ts", F.expr("vector_id div 50").alias("seq"), (F.col("vector_id") % 50).alias("position"))
-
-
-@query("wal_tail", "SELECT vector_id, ts, vector_id // 50 AS seq, vector_id % 50 AS position FROM v WHERE vector_id // 50 > 4")
-def _(s, d):
-    return _log(s, d).where("seq > 4")
-
-
-@query("replay_union_dedup", "SELECT vector_id, ts, CASE WHEN 2 * vector_id < total THEN -1 ELSE vector_id // 50 END AS seq FROM v, n WHERE 2 * vector_id < total OR vector_id // 50 > 3")
-def _(s, d):
-    half = vectors(s, d).where(F.col("vector_id") * 2 < vectors(s, d).count()).select("vector_id", "ts")
-    return I.replay(half, _log(s, d), 3).select("vector_id", "ts", "seq")
-
-
-@query("stale_bucket_except", "SELECT 'seq_' || bucket_seq AS name FROM (SELECT DISTINCT bucket_seq FROM b UNION SELECT 17) WHERE bucket_seq NOT IN (1, 2)")
-def _(s, d):
-    seqs = stored(s, d).select("bucket_seq").union(s.range(17, 18).select(F.col("id").cast("int"))).distinct()
-    listed = seqs.select(C.bucket_name("bucket_seq").alias("name"))
-    return I.stale(listed, s.createDataFrame([("seq_1",), ("seq_2",)], "name string"), "name")
-
-
 # evaluation
 
 
@@ -490,7 +460,20 @@ def _(s, d):
     return E.spikes(series, "event_id", "value", 20.0, "user_id")
 
 
-@query("payload_crc", None)
+@query("series_summary", "SELECT user_id, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last, min(value) AS least, max(value) AS peak, arg_max(value, event_id) - arg_min(value, event_id) AS growth FROM events GROUP BY 1")
+def _(s, d):
+    return E.series_summary(s.read.parquet(f"{d}/events.parquet"), "event_id", "value", "user_id")
+
+
+#: The table of the checksum's steps, and the texts' bytes.
+CRC = """
+tab AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_concat([n], range(0, 8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+x AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+y AS (SELECT doc_id, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS b FROM x WHERE h IS NOT NULL),
+"""
+
+
+@query("payload_crc", "SELECT doc_id, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM y, tab", CRC)
 def _(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", C.payload_crc32(F.col("text").cast("binary")).alias("crc"))
 
@@ -507,6 +490,57 @@ def _(s, d):
     return hnsw.search(hnsw.build(stored(s, d), _config(quarter(s, d))), some(s, d), _config(quarter(s, d)), 10, 64)
 
 
+#: A level from a hash of the id, as the graphs draw it; the arithmetic is modulo 2**64.
+LEVEL = """
+h1 AS (SELECT vector_id, (vector_id::UHUGEINT * 11400714819323198485 + 2135587861) % 18446744073709551616 AS x FROM v),
+h2 AS (SELECT vector_id, (xor(x::UBIGINT, x::UBIGINT >> 31)::UHUGEINT * 15485907386658061715) % 18446744073709551616 AS x FROM h1),
+h3 AS (SELECT vector_id, xor(x::UBIGINT, x::UBIGINT >> 32) AS x FROM h2),
+lv AS (SELECT vector_id, CAST(least(32, floor(-ln(((x >> 11) + 1) / 9007199254740993.0::DOUBLE) / ln(16.0::DOUBLE))) AS INTEGER) AS level FROM h3),
+"""
+
+
+@query("graph_levels", "SELECT level, count(*) AS n FROM lv GROUP BY 1", LEVEL)
+def _(s, d):
+    return hnsw.level_histogram(hnsw.build(stored(s, d), _config(quarter(s, d))))
+
+
+@query("graph_sizes", "SELECT bucket_seq, 0 AS shard, count(*) AS nodes, 64 AS dim, max(level) AS top_level, arg_max(vector_id, level * 1000000 - vector_id) AS entry FROM b JOIN lv USING (vector_id) GROUP BY 1", LEVEL)
+def _(s, d):
+    return hnsw.describe(hnsw.build(stored(s, d), _config(quarter(s, d))))
+
+
+@query("hnsw_exact", BHITS, BK.format(dist=f"round({PLAIN}, 9)", where=""))
+def _(s, d):
+    """With a beam as wide as a graph the search is exact; numpy adds in another order, so distances are rounded."""
+    n = quarter(s, d)
+    hits = hnsw.search(hnsw.build(stored(s, d), _config(n)), some(s, d), _config(n), 10, n + 4)
+    return hits.withColumn("distance", F.round("distance", 9))
+
+
+def _enough(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """Whether the mean recall of the ten nearest is 0.9 at least, and how many queries it is of."""
+    recalls = E.recall_per_query(knn_batch(vectors(s, d), some(s, d), 10), hits)
+    return recalls.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
+ENOUGH = "SELECT count(*) AS queries, true AS enough FROM q"
+
+
+@query("hnsw_recall", ENOUGH)
+def _(s, d):
+    return _enough(s, d, QUERIES["hnsw_search"](s, d))
+
+
+@query("ivf_recall", ENOUGH)
+def _(s, d):
+    return _enough(s, d, QUERIES["ivf_search"](s, d))
+
+
+@query("engine_graph_recall", ENOUGH)
+def _(s, d):
+    return _enough(s, d, QUERIES["engine_graph_search"](s, d))
+
+
 @query("hnsw_graph_edges", None)
 def _(s, d):
     return hnsw.edges(hnsw.build(stored(s, d), _config(quarter(s, d))))
@@ -516,7 +550,7 @@ def _(s, d):
 def _(s, d):
     rows = vectors(s, d)
     centres = ivf.train(rows, 16)
-    return ivf.search(rows, some(s, d), centres, 10, 6)
+    return ivf.search(rows, some(s, d), centres, 10, 12)
 
 
 @query("ivf_exact", HITS, KNN.format(dist=l2("q.e", "v.e"), where=""))
@@ -536,11 +570,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidegrid-{uuid.uuid4().hex}"
 
 
-def _filled(s: SparkSession, d: str) -> Engine:
+def _filled(s: SparkSession, d: str, which=None) -> Engine:
     base = scratch(s)
     engine = Engine(s, f"{base}/root", f"{base}/blob")
     engine.create_collection("vectors", _config(quarter(s, d)))
-    engine.batch_insert("vectors", vectors(s, d).select("vector_id", "ts", "vector", F.col("vector_id").alias("arrival")))
+    rows = vectors(s, d).select("vector_id", "ts", "vector", F.col("vector_id").alias("arrival"))
+    engine.batch_insert("vectors", rows if which is None else rows.where(which))
     return engine
 
 
@@ -617,3 +652,181 @@ def _(s, d):
     vectors(s, d).select(F.col("vector_id").alias("row_id"), F.col("vector").alias("values")).write.format("fvecs").mode("append").save(path)
     back = s.read.format("fvecs").load(path)
     return back.select(F.get("values", F.lit(0)).cast("double").alias("first"), F.get("values", F.lit(63)).cast("double").alias("last"), F.size("values").cast("long").alias("dim"))
+
+
+@query("fvecs_point_read", "SELECT 3 AS row_id, list_sum(e) AS total FROM v WHERE vector_id = 3")
+def _(s, d):
+    vecs.register(s)
+    path = scratch(s)
+    vectors(s, d).orderBy("vector_id").coalesce(1).select(F.col("vector_id").alias("row_id"), F.col("vector").alias("values")).write.format("fvecs").mode("append").save(path)
+    total = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x)
+    return s.read.format("fvecs").load(path).where("row_id = 3").select("row_id", total.alias("total"))
+
+
+@query("flat_buffer", "SELECT vector_id // 100 AS block, count(*) * 64 AS n, arg_min(e[1], vector_id) AS first, arg_max(e[64], vector_id) AS last FROM v GROUP BY 1")
+def _(s, d):
+    """The vectors of a block of 100 as one flat array."""
+    rows = vectors(s, d).groupBy(F.expr("vector_id div 100").alias("block")).agg(F.sort_array(F.collect_list(F.struct("vector_id", "vector"))).alias("rows"))
+    flat = rows.select("block", F.flatten("rows.vector").alias("flat"))
+    return flat.select("block", F.size("flat").cast("long").alias("n"), F.get("flat", F.lit(0)).cast("double").alias("first"), F.element_at("flat", -1).cast("double").alias("last"))
+
+
+@query("block_counts", "SELECT vector_id // 100 AS block, count(*) AS n FROM v GROUP BY 1")
+def _(s, d):
+    block, _row = C.internal_position(C.internal_id(F.expr("vector_id div 100"), F.col("vector_id") % 100, 100), 100)
+    return vectors(s, d).groupBy(block.alias("block")).agg(F.count("*").alias("n"))
+
+
+@query("block_totals", "SELECT count(*) AS vectors, count(DISTINCT vector_id // 100) AS blocks FROM v")
+def _(s, d):
+    block, _row = C.internal_position(C.internal_id(F.expr("vector_id div 100"), F.col("vector_id") % 100, 100), 100)
+    return vectors(s, d).agg(F.count("*").alias("vectors"), F.count_distinct(block).alias("blocks"))
+
+
+# recovery: binary log files of 50 vectors each, snapshots and logs of the engine
+
+
+def _log(s: SparkSession, d: str) -> str:
+    """A folder of log files with all vectors."""
+    rows = vectors(s, d).select(F.expr("vector_id div 50").alias("seq"), (F.col("vector_id") % 50).alias("position"), "vector_id", "ts", "vector")
+    folder = f"{scratch(s)}/wal"
+    wal.write(rows, folder)
+    return folder
+
+
+@query("wal_tail", "SELECT vector_id, ts, vector_id // 50 AS seq, vector_id % 50 AS position, e[64] AS last FROM v WHERE vector_id // 50 > 4")
+def _(s, d):
+    return wal.read(s, _log(s, d), 4).select("vector_id", "ts", "seq", "position", F.get("vector", F.lit(63)).cast("double").alias("last"))
+
+
+@query("replay_union_dedup", "SELECT vector_id, ts, CASE WHEN 2 * vector_id < total THEN -1 ELSE vector_id // 50 END AS seq FROM v, n WHERE 2 * vector_id < total OR vector_id // 50 > 3")
+def _(s, d):
+    """The first half from the engine's snapshot, the rest from the log files behind the fourth."""
+    engine = _filled(s, d, F.col("vector_id") * 2 < vectors(s, d).count())
+    engine.snapshot("vectors")
+    again = Engine(s, scratch(s), engine.blob)
+    again.recover()
+    return I.replay(again.stored("vectors").select("vector_id", "ts"), wal.read(s, _log(s, d)).drop("vector"), 3).select("vector_id", "ts", "seq")
+
+
+@query("replay_log_files", BHITS, ALL)
+def _(s, d):
+    base = scratch(s)
+    engine = Engine(s, f"{base}/root")
+    engine.create_collection("vectors", _config(quarter(s, d)))
+    engine.replay_log("vectors", _log(s, d))
+    return _hits(engine, s, d)
+
+
+def _rows(s: SparkSession, d: str) -> DataFrame:
+    return vectors(s, d).select("vector_id", "ts", "vector", F.col("vector_id").alias("arrival"))
+
+
+def _placed(engine: Engine) -> DataFrame:
+    return engine.stored("vectors").select("vector_id", "bucket_start", "bucket_seq")
+
+
+PLACES = "SELECT vector_id, bucket_start, bucket_seq FROM b"
+
+
+@query("dirty_counts", "SELECT bucket_seq, CAST(count(*) FILTER (WHERE vector_id % 3 = 0) AS BIGINT) AS dirty FROM b GROUP BY 1")
+def _(s, d):
+    """A third of the rows comes after the snapshot."""
+    engine = _filled(s, d, F.col("vector_id") % 3 != 0)
+    engine.snapshot("vectors")
+    engine.batch_insert("vectors", _rows(s, d), "event_time")
+    return s.createDataFrame(list(engine.dirty("vectors").items()), "bucket_seq int, dirty long")
+
+
+@query("stale_bucket_except", "SELECT DISTINCT 'seq_' || bucket_seq AS name FROM b WHERE bucket_seq < 2")
+def _(s, d):
+    """Snapshots of buckets that were dropped since."""
+    engine = _filled(s, d)
+    engine.snapshot("vectors")
+    engine.evict_before("vectors", 2 * quarter(s, d))
+    listed = s.createDataFrame([(n,) for n in engine.files.list(f"{engine.blob}/vectors") if n.startswith("seq_")], "name string")
+    live = s.createDataFrame([(f"seq_{b['seq']}",) for b in engine.bucket_metas("vectors")], "name string")
+    return I.stale(listed, live, "name")
+
+
+@query("recover_in_place", PLACES)
+def _(s, d):
+    """Three inserts, a snapshot after the first, and the same root."""
+    total = vectors(s, d).count()
+    engine = _filled(s, d, F.col("vector_id") * 3 < total)
+    engine.snapshot("vectors")
+    for k in (2, 3):
+        engine.batch_insert("vectors", _rows(s, d).where(F.col("vector_id") * 3 < k * total))
+    engine.recover(replace=True)
+    return _placed(engine)
+
+
+@query("recover_sealed", "SELECT vector_id, bucket_start FROM b")
+def _(s, d):
+    """Rows that come for a bucket in the blob tier, then a snapshot and a recovery elsewhere."""
+    engine = _filled(s, d, F.col("vector_id") * 8 < 3 * vectors(s, d).count())
+    engine.swap_bucket_out_to_blob("vectors", 1)
+    engine.batch_insert("vectors", _rows(s, d))
+    engine.snapshot("vectors")
+    again = Engine(s, scratch(s), engine.blob)
+    again.recover()
+    return again.stored("vectors").select("vector_id", "bucket_start")
+
+
+@query("recover_event_time", "SELECT vector_id, bucket_start FROM b")
+def _(s, d):
+    """Late rows first come back to the buckets of their own time."""
+    base, n = scratch(s), quarter(s, d)
+    engine = Engine(s, f"{base}/root", f"{base}/blob")
+    engine.create_collection("vectors", _config(n))
+    engine.batch_insert("vectors", _rows(s, d).where(F.col("ts") >= 2 * n), "event_time")
+    engine.batch_insert("vectors", _rows(s, d), "event_time")
+    again = Engine(s, scratch(s), engine.blob)
+    again.recover(log_root=engine.root)
+    return again.stored("vectors").select("vector_id", "bucket_start")
+
+
+@query("restore_after_insert", PLACES)
+def _(s, d):
+    """A bucket with rows that its snapshot lacks is not restored from it; after another snapshot it is."""
+    engine = _filled(s, d, F.col("vector_id") % 2 == 0)
+    engine.snapshot("vectors")
+    engine.batch_insert("vectors", _rows(s, d), "event_time")
+    try:
+        engine.swap_bucket_in_from_blob("vectors", 0)
+    except FailedPrecondition:
+        engine.snapshot("vectors")
+        engine.swap_bucket_in_from_blob("vectors", 0)
+    return _placed(engine)
+
+
+@query("snapshot_gate", "SELECT true AS failed, count(*) AS held, CAST(1 AS BIGINT) AS log_entries FROM v")
+def _(s, d):
+    """One bucket cannot be written: the log stays, and a recovery has all rows."""
+    engine = _filled(s, d)
+    write = engine._write_snapshot
+    engine._write_snapshot = lambda name, b, now: write(name, b, now) if b["seq"] else write(name, b | {"files": ["/no/such/folder"]}, now)
+    try:
+        engine.snapshot("vectors")
+        failed = False
+    except AnalysisException:
+        failed = True
+    entries = len(engine.files.list(f"{engine.root}/vectors/wal"))
+    again = Engine(s, scratch(s), engine.blob)
+    again.recover(log_root=engine.root)
+    return again.stored("vectors").agg(F.lit(failed).alias("failed"), F.count("*").alias("held"), F.lit(entries).cast("long").alias("log_entries"))
+
+
+@query("reset_collection", PLACES.replace("bucket_seq FROM", "bucket_seq + 4 AS bucket_seq FROM"))
+def _(s, d):
+    engine = _filled(s, d)
+    engine.reset_collection("vectors")
+    engine.batch_insert("vectors", _rows(s, d))
+    return _placed(engine)
+
+
+@query("knn_far_offset", HITS, KNN.format(dist=l2("list_transform(q.e, lambda x: round(x * 1000000) + 100000000)", "list_transform(v.e, lambda x: round(x * 1000000) + 100000000)"), where=""))
+def _(s, d):
+    """Vectors far from the origin, in whole numbers."""
+    moved = lambda v: F.transform(V.as_doubles(v), lambda x: F.floor(x * 1000000 + 0.5).cast("double") + 100000000)
+    return knn_batch(vectors(s, d).withColumn("vector", moved("vector")), some(s, d).withColumn("query", moved("query")), 10)
