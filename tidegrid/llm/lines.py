@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, materialize, maybe_broadcast, table
+from .common import bounded_batches, free_name, let, materialize, maybe_broadcast, table
 from .textkernels import mix, powers
 
 MIN_CHARS = 20
@@ -126,13 +126,12 @@ def duplicate_lines(documents: DataFrame, min_chars: int = MIN_CHARS, max_edits:
     texts = texts.repartitionByRange("doc_id", "line_no", "check").sortWithinPartitions("doc_id", "line_no", "check")
     texts = materialize(texts.withColumn("ref", F.monotonically_increasing_id()), "texts")  # refs ascend with (doc_id, line_no)
 
-    rows = variants(texts)
+    rows = variants(texts).repartition("key")  # lines of one key differ in one code point, so no key has a share of the rows
     ref, longer = F.shiftright("mark", 1), F.col("mark").bitwiseAND(1) == 1
-    least = rows.groupBy("key").agg(F.min(F.when(~longer, ref)).alias("plain"), F.min(F.when(longer, ref)).alias("shortened"), F.count("*").alias("n")).where("n > 1").drop("n")
-    least = maybe_broadcast(materialize(least, "least"), 40)
+    least = rows.groupBy("key").agg(F.min(F.when(~longer, ref)).alias("plain"), F.min(F.when(longer, ref)).alias("shortened"), F.count("*").alias("n"))
     # for a shortened line the whole one of its key; for a whole one the shortened; for a replaced code point the earliest
     other = F.when(longer, F.col("plain")).otherwise(F.least("shortened", "plain"))
-    pairs = rows.join(least, "key").select(ref.alias("ref"), other.alias("keeper")).where("keeper < ref").distinct()
+    pairs = rows.join(least.where("n > 1"), "key").select(ref.alias("ref"), other.alias("keeper")).where("keeper < ref").distinct()
     a, b = texts.select("ref", "doc_id", "line_no", "line", "check"), texts.select("ref", "doc_id", "line_no", "line").toDF("keeper", "keeper_doc_id", "keeper_line_no", "kept")
     near = pairs.join(a, "ref").join(b, "keeper").withColumn("distance", F.levenshtein("line", "kept", 1)).where("distance between 1 and 1")
     near = near.groupBy("doc_id", "line_no", "check").agg(F.min(F.struct("keeper_doc_id", "keeper_line_no", "distance")).alias("k"))
@@ -156,12 +155,16 @@ def drop_lines(documents: DataFrame, drops: DataFrame) -> DataFrame:
     lost = drops.groupBy(F.col("doc_id").cast("long").alias(id_)).agg(F.collect_set(places.bitwiseOR(hashes(F.col("line_hash") if named else None))).alias(gone))
     whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(row))
     both = whole.join(lost, F.col(f"{row}.doc_id") == F.col(id_), "left")
-    lines = F.split(F.col(f"{row}.text"), "\n")
-    marks = F.transform(lines, lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(hashes(F.xxhash64(x))))
-    kept = F.transform(F.array_except(marks, F.col(gone)), lambda m: F.get(lines, F.shiftright(m, 32).cast("int")))
+
+    def kept(lines: Column) -> Column:
+        marks = F.transform(lines, lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(hashes(F.xxhash64(x))))
+        return F.array_join(F.transform(F.array_except(marks, F.col(gone)), lambda m: F.get(lines, F.shiftright(m, 32).cast("int"))), "\n")
+
     changed = F.col(gone).isNotNull() & F.col(f"{row}.text").isNotNull()
-    text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(f"{row}.text"))
-    out = []
+    text = F.when(changed, let(F.split(F.col(f"{row}.text"), "\n"), kept)).otherwise(F.col(f"{row}.text"))
+    left = free_name(documents, "left")
+    both = both.withColumn(left, text)
+    text, out = F.col(left), []
     for c in documents.columns:
         if c == "text":
             out.append(text.alias(c))

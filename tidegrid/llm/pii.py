@@ -39,7 +39,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import let, materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -80,11 +80,6 @@ REACH = 40
 SCAN, WIDE = 512, 1 << 16
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, also where lambdas use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _cut(items: Column, size: int) -> Column:
     """The items in blocks; they must be a column or a lambda's variable."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, F.lit(size)))
@@ -105,7 +100,7 @@ def _scan(items: Column, state: Column, none: Column, step: Callable[[Column, Co
         blocks = F.flatten(F.transform(_cut(all_, WIDE), lambda wide: _cut(wide, SCAN)))
         return F.when(F.size(all_) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["o"]))).otherwise(none)
 
-    return _let(items, run)
+    return let(items, run)
 
 
 FOUND = "struct<start:int,end:int,m:string,before:string,after:string>"
@@ -113,7 +108,7 @@ FOUND = "struct<start:int,end:int,m:string,before:string,after:string>"
 
 def _spans(pieces: Column, found: Column) -> Column:
     """The matches with their places, and up to REACH characters before and one after, from the pieces between them: no text is searched again."""
-    return _let(pieces, lambda p: _placed(p, found))
+    return let(pieces, lambda p: _placed(p, found))
 
 
 def _placed(pieces: Column, found: Column) -> Column:
