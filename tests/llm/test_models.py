@@ -62,6 +62,54 @@ def test_quality(spark):
     assert quality.train(documents, labels.limit(0)).scores(pa.array(["x"])).tolist() == [0]
 
 
+def plain_toxicity(model, text):
+    """A text's score letter by letter: words, runs of single letters as one word, all subsequences of three letters."""
+    found, run = [], []
+    for w in [*(text or "").encode().split(), b"  "]:
+        if len(w) == 1 and toxicity._LETTERS[w[0]]:
+            run.append(w)
+        else:
+            found += [b"".join(run)] if len(run) >= 3 else []
+            run = []
+        found.append(w)
+    best = toxicity.LOWEST
+    for w in found[:-1]:
+        u = [toxicity.BEGIN, *(int(toxicity._LETTERS[c]) for c in w if toxicity._LETTERS[c])]
+        total = square = 0.0
+        for i in range(len(u)):
+            for d in toxicity.STEPS:
+                for e in toxicity.STEPS:
+                    if i + d + e < len(u):
+                        weight = toxicity.DECAY ** (d + e - 2)
+                        total += weight * float(model.weights[u[i] << 12 | u[i + d] << 6 | u[i + d + e]])
+                        square += weight**2
+        best = max(best, total / max(square, toxicity.DECAY**8) ** 0.5 + model.bias)
+    return 1 / (1 + np.exp(-(model.slope * best + model.offset)))
+
+
+def test_toxicity_against_a_plain_reading(spark):
+    documents, labels = labelled(spark, 400)
+    model = toxicity.train(documents, labels)
+    texts = [r["text"] for r in documents.limit(120).collect()] + [None, "", " \t", "a b c zorgix", "z o r g i x", "z.o-r g!x", "x" * 3000, "z o"]
+    got = model.scores(pa.array(texts))
+    assert got == pytest.approx([plain_toxicity(model, t) for t in texts], abs=1e-9)
+
+
+def test_quality_against_a_plain_reading(spark):
+    """The score from the model's tables, and that the scores rank the labelled pairs as the pairs say."""
+    documents, labels = labelled(spark, 400)
+    model = quality.train(documents, labels)
+    rows = documents.join(labels, "doc_id").where("text is not null").collect()
+    texts = [r["text"] for r in rows]
+    values = quality.features(pa.array(texts))
+    got = model.scores(pa.array(texts))
+    for x, score in zip(values.tolist(), got.tolist(), strict=True):
+        rank = sum(model.weights[j][sum(1 for c in model.cuts[j] if c <= v)] for j, v in enumerate(x))
+        assert score == pytest.approx(1 / (1 + np.exp(-(rank - model.threshold + np.log(0.7 / 0.3)))), abs=1e-9)
+    good, bad = (np.array([s for s, r in zip(got, rows, strict=True) if r["quality"] == v]) for v in (1, 0))
+    assert (good[:, None] > bad[None, :]).mean() >= 0.97
+
+
 def test_fitting_sample_is_bounded(spark):
     documents, labels = labelled(spark, 200)
     assert training.fit_rows(documents, labels, "toxic", F.lit(True), 50).count() == 50
