@@ -520,6 +520,40 @@ def test_passages_whose_halves_earlier_documents_hold(spark):
     assert got == want
 
 
+def least_values(words):
+    """By function: the least value over a text's shingles, and where it is."""
+    value = passages.tokens(*textkernels.buffers(pa.array([" ".join(words)])), 5)[0]
+    made = [textkernels.mix(value ^ np.uint64(0x100000001B3 * (f + 1))) for f in range(passages.HASHES)]
+    return [(int(m.min()), int(m.argmin())) for m in made]
+
+
+def test_passages_whose_keys_many_unlike_documents_hold(spark):
+    """20 earlier documents hold the least shingle of every function of a passage, and nothing else of it; its changed copy is found."""
+    r = random.Random(3)
+    fresh = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(50)
+    while len({at // 5 for _, at in least_values(passage)}) < 5 or sum(m for m, _ in least_values(passage)) > 0.05 * 2**64:
+        passage = fresh(50)
+    least = least_values(passage)
+    fixed = {at + k for _, at in least for k in range(5)}
+
+    def same_least(change):
+        """A text in which words outside these shingles are others, and none of its own shingles has a lesser value."""
+        while True:
+            made = passage[:]
+            for at in change:
+                made[at] = fresh(1)[0]
+            if least_values(made) == least:
+                return made
+
+    free = [k for k in range(50) if k not in fixed]
+    rows = [(i, " ".join(same_least(free))) for i in range(20)]
+    changed = same_least([next(k for k in free if 4 < k < 45)])
+    rows += [(100, " ".join(passage)), (200, " ".join(changed))]
+    got = passages.repeated_passages(docs(spark, rows), sources_per_key=1).collect()  # two further rounds
+    assert [(x["doc_id"], x["source_doc_id"], x["start"], x["end"], x["source_start"], x["source_end"]) for x in got] == [(200, 100, 0, 50, 0, 50)]
+
+
 def test_passages_with_moved_halves_and_wide_gaps(spark):
     one, two = prose("moved", 60, 10**6).split(), prose("gap", 96, 10**6).split()
     rows = [
