@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidegrid.llm import chat, decontaminate, jaccard, lines, pack, passages, pii, textkernels, toxicity, vptree
+from tidegrid.llm import chat, common, decontaminate, jaccard, lines, pack, passages, pii, textkernels, toxicity, vptree
 from tidegrid.llm.common import connected_components
 
 DOCS = "doc_id long, text string, n long, score double, key string, a long, comp long, margin double, _gone int"
@@ -50,6 +50,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_workers_give_memory_back(spark, monkeypatch):
+    """The pipeline's workers stay for later stages, so each task ends by giving memory back."""
+    trims, works, table = [], [], docs(spark, [])
+    monkeypatch.setattr(common, "trim", lambda: trims.append(1))
+    monkeypatch.setattr(type(table), "mapInArrow", lambda self, work, schema: works.append(work) or spark.createDataFrame([], schema))
+    jaccard.sketch(table, 5, 80)
+    pack.pack(table, "none")
+    assert len(works) == 3
+    batch = pa.record_batch({"doc_id": pa.array([1, 2], pa.int64()), "text": [prose(1, 60), None]})
+    assert [b.num_rows for b in works[0](iter([batch]))] == [2] and trims == [1]
+    assert list(works[2](iter([]))) == [] and trims == [1, 1]
+
+
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_components(spark, size, percent):
     r, rows = random.Random(3), list(ODD)
