@@ -567,6 +567,67 @@ def test_passages_whose_keys_many_unlike_documents_hold(spark):
     assert [(x["doc_id"], x["source_doc_id"], x["start"], x["end"], x["source_start"], x["source_end"]) for x in got] == [(200, 100, 0, 50, 0, 50)]
 
 
+def closure(ids, links):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+    return {i: find(i) for i in ids}
+
+
+def covered_places(groups):
+    """Per group 24 documents with a passage changed early, one with it changed late, which no other leads to, and the passage itself."""
+    rows = []
+    for g in range(groups):
+        passage = prose(f"p{g}", 60, 10**6).split()
+        held = [[*passage[:k], f"c{k}", *passage[k + 1 :]] for k in [*range(14, 26)] * 2 + [40]] + [passage]
+        rows += [(100 * g + k, " ".join([prose(f"a{g} {k}", 40, 10**6), *w, prose(f"z{g} {k}", 40, 10**6)])) for k, w in enumerate(held)]
+    return rows
+
+
+def test_passage_classes_of_covered_places(spark):
+    """Earlier documents cover the place that alone leads to a further one."""
+    rows, groups = covered_places(8), 8
+    rows += [*((i + 5000, t) for i, t in ODD), (None, prose("x", 80)), (90, rows[-1][1].upper() + "\n"), (91, rows[-1][1])]
+    got = {r["doc_id"]: r["component_id"] for r in passages.passage_classes(docs(spark, rows)).collect()}
+    assert got.keys() == {i for i, _ in rows if i is not None}
+    assert all(got[i + 5000] == i + 5000 for i, _ in ODD)
+    first = [100 * g for g in range(groups - 1)] + [90]
+    for g, least in enumerate(first):
+        assert got[100 * g + 25] == least and {got[100 * g + k] for k in range(26)} <= {least, *range(100 * g, 100 * g + 26)}
+    assert got[91] == 90
+    # a changed version is found with a probability
+    assert sum(got[100 * g + 24] == least for g, least in enumerate(first)) >= 5
+    assert passages.passage_classes(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passage_classes_against_all_pairs(spark, seed):
+    """No exact repeat parts classes, few others do, and classes join nothing that is not alike."""
+    rows = passage_corpus(seed)
+    rows += [(1000 + i, t) for i, t in rows[::9]]
+    got = {r["doc_id"]: r["component_id"] for r in passages.passage_classes(docs(spark, rows)).collect()}
+    table, links, exact = shingle_table(rows), [], []
+    for (i, x), (j, y) in itertools.combinations(table.items(), 2):
+        near, same = alike_windows(x, y)
+        if near.any() or same.any():
+            links.append((i, j))
+        if same.any():
+            exact.append((i, j))
+    assert exact and all(got[i] == got[j] for i, j in exact)
+    assert sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+    words = {i: t.split() for i, t in rows}
+    assert set(got) == set(words)
+    loose = closure(got, [(i, j) for (i, x), (j, y) in itertools.combinations(table.items(), 2) if len(np.intersect1d(x, y)) >= 37])
+    assert all(loose[i] == loose[c] for i, c in got.items())
+
+
 def test_passages_with_moved_halves_and_wide_gaps(spark):
     one, two = prose("moved", 60, 10**6).split(), prose("gap", 96, 10**6).split()
     rows = [
