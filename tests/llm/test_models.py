@@ -110,6 +110,36 @@ def test_quality_against_a_plain_reading(spark):
     assert (good[:, None] > bad[None, :]).mean() >= 0.97
 
 
+def test_quality_is_fitted_on_all_rows(spark, monkeypatch):
+    """Every usable labelled row takes part in the cuts, the pairs and the threshold."""
+    documents, labels = labelled(spark, 400)
+    want = documents.select("doc_id").distinct().join(labels.where("quality is not null"), "doc_id").where(training.remainder("doc_id", 4) != 2).select("doc_id").distinct().count()
+    seen, fit = [], quality.fit
+    bounds, rows = [], quality.fit_rows
+    monkeypatch.setattr(quality, "fit_rows", lambda *a: bounds.append(a[4:]) or rows(*a))
+    monkeypatch.setattr(quality, "fit", lambda *a: seen.append(len(a[-1])) or fit(*a))
+    model = quality.train(documents, labels)
+    assert bounds == [(None,)] and seen[0] >= want > 50
+    assert training.fit_rows(documents, labels, "quality", training.remainder("doc_id", 4) != 2, None).count() == seen[0]
+    assert len(model.cuts) == 21
+
+
+def test_quality_over_all_pairs():
+    """The weights are those of the plain loss over every pair."""
+    r = np.random.default_rng(5)
+    y = (r.random(60) < 0.4).astype(np.uint8)
+    codes = np.stack([np.clip(r.integers(0, 3, 60) + (k == 0) * y, 0, 2) for k in range(2)]).astype(np.uint8)
+    model = quality.fit(np.array([[0.5, 1.5]] * 2), codes, y, 3000, 0.05)
+    w = np.zeros((2, 3))
+    for _ in range(3000):
+        s = w[0][codes[0]] + w[1][codes[1]]
+        miss = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0][None, :]))
+        own = np.zeros(60)
+        own[y == 1], own[y == 0] = miss.mean(axis=1) / (y == 1).sum(), -miss.mean(axis=0) / (y == 0).sum()
+        w += 0.5 * (np.stack([np.bincount(c, own, 3) for c in codes]) - 0.05 * w)
+    assert model.weights == pytest.approx(w, abs=5e-3)
+
+
 def test_fitting_sample_is_bounded(spark):
     documents, labels = labelled(spark, 200)
     assert training.fit_rows(documents, labels, "toxic", F.lit(True), 50).count() == 50
