@@ -628,6 +628,23 @@ def test_passage_classes_against_all_pairs(spark, seed):
     assert all(loose[i] == loose[c] for i, c in got.items())
 
 
+def test_passage_classes_make_no_finer_keys_of_one_class(spark, monkeypatch):
+    """What the stars have joined leaves no rows for later rounds, however many documents hold a passage."""
+    made, materialize = {}, passages.materialize
+
+    def counted(df, name="step"):
+        out = materialize(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    passage = prose("held by all", 60, 10**6)
+    rows = [(i, " ".join([prose(f"before {i}", 40, 10**6), passage, prose(f"after {i}", 40, 10**6)])) for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in passages.passage_classes(docs(spark, rows)).collect()}
+    assert got == dict.fromkeys(range(60), 0)
+    assert sum(made["windows"]) >= 60 and made["finer"] == [0]
+
+
 def test_passages_with_moved_halves_and_wide_gaps(spark):
     one, two = prose("moved", 60, 10**6).split(), prose("gap", 96, 10**6).split()
     rows = [
