@@ -68,3 +68,15 @@ def test_what_has_no_order_comes_last(spark):
     asked = spark.createDataFrame([(0, [0.0, 0.0])], "query_id long, query array<double>")
     hits = knn.knn_batch(rows, asked, 13).orderBy("rank").collect()
     assert [r["vector_id"] for r in hits] == [*range(0, 24, 2), 1]
+
+
+def test_every_bucket_gives_its_nearest(spark, table):
+    """Also one whose nearest rows are behind a thousand others of other buckets."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1603, 4)).astype(np.float32)
+    x[1600:] += 100
+    got = {}
+    for r in QUERIES["knn_per_bucket"](spark, table(x)).orderBy("query_id", "bucket_seq", "rank").collect():
+        got.setdefault((r["query_id"], r["bucket_seq"]), []).append(r["vector_id"])
+    gaps = ((x[::100, None].astype(np.float64) - x[None].astype(np.float64)) ** 2).sum(-1)
+    assert got == {(q, b): [i for i in np.argsort(gaps[q // 100], kind="stable").tolist() if i // 400 == b][:3] for q in range(0, 1603, 100) for b in range(5)}
