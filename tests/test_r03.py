@@ -80,3 +80,9 @@ def test_every_bucket_gives_its_nearest(spark, table):
         got.setdefault((r["query_id"], r["bucket_seq"]), []).append(r["vector_id"])
     gaps = ((x[::100, None].astype(np.float64) - x[None].astype(np.float64)) ** 2).sum(-1)
     assert got == {(q, b): [i for i in np.argsort(gaps[q // 100], kind="stable").tolist() if i // 400 == b][:3] for q in range(0, 1603, 100) for b in range(5)}
+
+
+@pytest.mark.parametrize("n", [8, 11])
+def test_reset_goes_on_at_the_fourth_number(spark, table, n):
+    rows = QUERIES["reset_collection"](spark, table(np.ones((n, 64)))).collect()
+    assert {r["vector_id"]: r["bucket_seq"] for r in rows} == {i: i // 2 + 4 for i in range(n)}
