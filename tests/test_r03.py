@@ -86,3 +86,12 @@ def test_every_bucket_gives_its_nearest(spark, table):
 def test_reset_goes_on_at_the_fourth_number(spark, table, n):
     rows = QUERIES["reset_collection"](spark, table(np.ones((n, 64)))).collect()
     assert {r["vector_id"]: r["bucket_seq"] for r in rows} == {i: i // 2 + 4 for i in range(n)}
+
+
+def test_a_stream_reads_a_folder_of_files_and_one_file(spark, table, tmp_path):
+    where = table(np.ones((10, 64)))
+    want = {i: i // 2 for i in range(10)}
+    assert {r["vector_id"]: r["bucket_seq"] for r in QUERIES["stream_ingest"](spark, where).collect()} == want
+    (tmp_path / "one").mkdir()
+    pq.write_table(pq.read_table(f"{where}/embeddings.parquet"), tmp_path / "one" / "embeddings.parquet")
+    assert {r["vector_id"]: r["bucket_seq"] for r in QUERIES["stream_ingest"](spark, str(tmp_path / "one")).collect()} == want
