@@ -95,3 +95,35 @@ def test_a_stream_reads_a_folder_of_files_and_one_file(spark, table, tmp_path):
     (tmp_path / "one").mkdir()
     pq.write_table(pq.read_table(f"{where}/embeddings.parquet"), tmp_path / "one" / "embeddings.parquet")
     assert {r["vector_id"]: r["bucket_seq"] for r in QUERIES["stream_ingest"](spark, str(tmp_path / "one")).collect()} == want
+
+
+def clusters(n, of, far=50.0):
+    rng = np.random.default_rng(4)
+    return (rng.normal(size=(n // of + 1, 64)) * far)[np.arange(n) % (n // of + 1)] + rng.normal(size=(n, 64)) * 1e-3
+
+
+def test_a_shard_is_built_without_beams(monkeypatch):
+    """The candidates are the nearest of the nodes before; edges go both ways, within their bounds, and reach every node."""
+    c = CollectionConfig(dim=64, m=4, m_max0=8, ef_construction=16)
+    x, levels = clusters(400, 40), np.array([hnsw.level_of(i, 4) for i in range(400)])
+    g = hnsw.Graph(c)
+    with monkeypatch.context() as m:
+        m.setattr(hnsw.Graph, "beam", None)
+        g.fill(x, levels)
+    assert g.entry == levels.argmax() and len(g.components()) == 1
+    for a, lists in enumerate(g.edges):
+        assert len(lists) == levels[a] + 1
+        for lv, near in enumerate(lists):
+            assert len(near) == len(set(near)) <= g.cap(lv) and a not in near and all(a in g.edges[b][lv] for b in near)
+    for place, gaps, near in hnsw.nearest_before(x, 16, "l2sq"):
+        want = ((x[:place] - x[place]) ** 2).sum(1)
+        assert np.allclose(np.sort(gaps), np.sort(want)[:16], atol=1e-6) and len(set(near.tolist())) == min(place, 16)
+
+
+def test_full_components_are_tied_together():
+    """Two circles of nodes without room each give up an edge for the tie."""
+    g = hnsw.Graph(CollectionConfig(dim=1, m=2, m_max0=2, ef_construction=4))
+    g.vectors, g.entry = np.arange(6.0)[:, None], 0
+    g.edges = [[[1, 2]], [[0, 2]], [[0, 1]], [[4, 5]], [[3, 5]], [[3, 4]]]
+    g.connect()
+    assert len(g.components()) == 1 and max(len(e[0]) for e in g.edges) <= 2

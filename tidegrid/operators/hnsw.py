@@ -3,6 +3,10 @@
 A graph is built by one task per (bucket, shard) in the order of (ts, id), with
 levels drawn from a hash of the id, so that a build is repeatable. A shard
 bounds the nodes of a task; a search asks every shard of a bucket and merges.
+A node that is added alone finds its candidates by a beam; when a whole shard
+is built, they are the exact nearest of the nodes before it, found block by
+block with matrix products. A built graph's lowest level is connected, so that
+a beam as wide as the graph meets every node.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..types import CollectionConfig
-from .knn import QUERY_MB, query_chunks, top_k
+from .knn import CELLS, QUERY_MB, SLACK, _exact, _first, _middle, _rough, query_chunks, top_k
 
 MAX_LEVEL, BEAM, BEAM_LEVELS, PENALTY = 32, 5, 3, 0.8
 SHARD_ROWS = 20_000
@@ -43,9 +47,10 @@ class Graph:
     def __init__(self, config: CollectionConfig, metric: str = "l2sq") -> None:
         if metric not in GAPS:
             raise InvalidArgument(f"no graph by {metric!r}; known: {', '.join(GAPS)}")
-        self.config, self.gap = config, GAPS[metric]
+        self.config, self.metric, self.gap = config, metric, GAPS[metric]
         self.vectors = np.zeros((16, config.dim))
         self.edges: list[list[list[int]]] = []
+        self._gaps: dict[tuple[int, int], list[float]] = {}  # by node and level, the lengths of the edges of full lists
         self.entry: int | None = None
 
     def __len__(self) -> int:
@@ -107,31 +112,98 @@ class Graph:
         for lv in range(min(top, level), -1, -1):
             found = self.beam(vector, start, lv, c.ef_construction)
             start = [n for _, n in found]
-            cap = self.cap(lv)
-            score = [(d * (1 + PENALTY * len(self.edges[n][lv]) / cap), n) for d, n in found if n != node]
-            for _, n in heapq.nsmallest(cap, score):
-                if self.link(n, node, lv):  # a neighbour that refuses the way back gets none
-                    self.link(node, n, lv)
+            self.attach(node, lv, found)
         if level > top:
             self.entry = node
         return node
 
-    def link(self, a: int, b: int, level: int) -> bool:
-        """The edge a -> b; a full list gives up its farthest neighbour for a nearer one, both ways."""
+    def attach(self, node: int, level: int, found: list[tuple[float, int]]) -> None:
+        """Link a node with the best of its candidates, of which those with many edges count as farther."""
+        cap = self.cap(level)
+        score = [(d * (1 + PENALTY * len(self.edges[n][level]) / cap), n, d) for d, n in found if n != node]
+        for _, n, d in sorted(score)[:cap]:
+            if self.link(n, node, level, d):  # a neighbour that refuses the way back gets none
+                self.link(node, n, level, d)
+
+    def fill(self, vectors: np.ndarray, levels: np.ndarray) -> None:
+        """Make the graph of these nodes, in their order; levels are filled one after another, as none depends on another's edges."""
+        self.vectors, self.edges = vectors, [[[] for _ in range(lv + 1)] for lv in levels.tolist()]
+        self.entry = int(levels.argmax()) if len(levels) else None
+        for lv in range(int(levels.max(initial=-1)) + 1):
+            members = np.flatnonzero(levels >= lv)
+            for place, gaps, near in nearest_before(vectors[members], self.config.ef_construction, self.metric):
+                self.attach(int(members[place]), lv, list(zip(gaps.tolist(), members[near].tolist(), strict=True)))
+        self.connect()
+
+    def component(self, start: int) -> dict[int, int]:
+        """What is reached from a node on the lowest level, with the node that each was first met from."""
+        met, open_ = {start: start}, [start]
+        while open_:
+            at = open_.pop()
+            for n in self.edges[at][0]:
+                if n not in met:
+                    met[n] = at
+                    open_.append(n)
+        return met
+
+    def components(self) -> list[dict[int, int]]:
+        """All of them, the largest first."""
+        found, seen = [], set()
+        for node in range(len(self)):
+            if node not in seen:
+                found.append(self.component(node))
+                seen.update(found[-1])
+        return sorted(found, key=len, reverse=True)
+
+    def connect(self) -> None:
+        """Tie every component of the lowest level to the rest by its shortest edge between nodes with room; lists stay within their bound."""
+        first, *others = self.components() or [{}]
+        inside = list(first)
+        for part in others:
+            a, b = self.roomy(list(part)), self.roomy(inside)
+            best = (np.inf, a[0], b[0])
+            for n in a:
+                gaps = self.distances(self.vectors[n], b)
+                k = int(gaps.argmin())
+                best = min(best, (float(gaps[k]), n, b[k]))
+            self.edges[best[1]][0].append(best[2])
+            self.edges[best[2]][0].append(best[1])
+            inside += part
+        self._gaps.clear()
+
+    def roomy(self, nodes: list[int]) -> list[int]:
+        """The nodes of a component with room for an edge; where all are full, an edge that closes a circle is given up."""
+        room = [n for n in nodes if len(self.edges[n][0]) < self.cap(0)]
+        if room:
+            return room
+        met = self.component(nodes[0])
+        a, b = next((a, b) for a in nodes for b in self.edges[a][0] if met[a] != b and met[b] != a)
+        self.edges[a][0].remove(b)
+        self.edges[b][0].remove(a)
+        return [a, b]
+
+    def link(self, a: int, b: int, level: int, gap: float | None = None) -> bool:
+        """The edge a -> b (of length ``gap``); a full list gives up its farthest neighbour for a nearer one, both ways."""
         near = self.edges[a][level]
         if b in near:
             return True
         if len(near) < self.cap(level):
+            self._gaps.pop((a, level), None)
             near.append(b)
             return True
-        gaps = self.distances(self.vectors[a], [*near, b])
-        far = int(gaps[:-1].argmax())
-        if gaps[-1] >= gaps[far]:
+        gaps = self._gaps.get((a, level))
+        if gaps is None:
+            gaps = self._gaps[a, level] = self.distances(self.vectors[a], near).tolist()
+        most = max(gaps)
+        gap = float(self.distances(self.vectors[a], [b])[0]) if gap is None else gap
+        if gap >= most:
             return False
-        gone, near[far] = near[far], b
+        far = gaps.index(most)
+        gone, near[far], gaps[far] = near[far], b, gap
         back = self.edges[gone][level]
         if a in back:
             back.remove(a)
+            self._gaps.pop((gone, level), None)
         return True
 
     def search(self, query: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
@@ -146,6 +218,46 @@ class Graph:
             start = [n for _, n in self.beam(query, start, lv, BEAM)]
         return self.beam(query, start, 0, max(ef, k))[:k]
 
+    def search_wide(self, queries: np.ndarray, k: int, within: float = 0.0):
+        """Per query what a beam over all nodes keeps: the k nearest of the component that its search comes to, and all that are at most ``within`` farther.
+
+        Yields query numbers and nodes. Distances are a block's at a time.
+        """
+        parts = [np.array(sorted(c)) for c in self.components()]
+        home = np.zeros(len(queries), int)
+        if len(parts) > 1:
+            of = {int(n): i for i, c in enumerate(parts) for n in c}
+            home = np.array([of[self.search(q, 1, 1)[0][1]] for q in queries])
+        for i, part in enumerate(parts):
+            asked = np.flatnonzero(home == i)
+            middle = _middle(queries[asked], self.metric)
+            moved = self.vectors[part] - middle
+            step = max(1, CELLS // len(part))
+            for lo in range(0, len(asked), step):
+                rough, off = _rough(queries[asked[lo : lo + step]] - middle, moved, middle, self.metric)
+                last = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(part) > k else np.full(len(rough), np.inf)
+                who, at = np.nonzero(~(rough > (last + SLACK * np.abs(last) + 2 * off + within)[:, None]))
+                yield asked[lo + who], part[at]
+
+
+def nearest_before(vectors: np.ndarray, width: int, metric: str):
+    """Per row its number, and gaps and numbers of the ``width`` nearest of the rows before it."""
+    middle = _middle(vectors, metric)
+    moved = vectors - middle
+    lo = 0
+    while lo < len(vectors):
+        hi = min(len(vectors), lo + max(1, int(((lo * lo + 4 * CELLS) ** 0.5 - lo) / 2)))  # CELLS distances at most
+        rough, _ = _rough(moved[lo:hi], moved[:hi], middle, metric)
+        rough[np.arange(hi)[None, :] >= np.arange(lo, hi)[:, None]] = np.inf
+        near = np.argpartition(rough, width - 1, axis=1)[:, :width] if hi > width else np.broadcast_to(np.arange(hi), rough.shape)
+        gaps = np.take_along_axis(rough, near, axis=1)
+        if metric == "l2sq":
+            np.maximum(gaps, 0, out=gaps)
+        for i in range(hi - lo):
+            fine = near[i] < lo + i
+            yield lo + i, gaps[i][fine], near[i][fine]
+        lo = hi
+
 
 def level_of(vector_id: int, m: int) -> int:
     """A geometric level from a hash of the id, the same on every machine."""
@@ -162,30 +274,35 @@ NODES = "bucket_seq int, bucket_start long, shard int, node_id int, vector_id lo
 
 def build(stored: DataFrame, config: CollectionConfig, shard_rows: int = SHARD_ROWS, metric: str = "l2sq") -> DataFrame:
     """The graphs of stored(bucket_seq, bucket_start, ts, vector_id, vector), a row per node."""
-    most = stored.groupBy("bucket_seq").count().agg(F.max("count")).first()[0] or 1
-    shards = -(-most // shard_rows)
-    rows = stored.select("bucket_seq", "bucket_start", "ts", "vector_id", "vector").withColumn("shard", F.pmod(F.xxhash64("vector_id"), F.lit(shards)).cast("int"))
+    counts = stored.groupBy("bucket_seq").count().select("bucket_seq", F.ceil(F.col("count") / shard_rows).cast("int").alias("_shards"))
+    graphs = counts.agg(F.sum("_shards")).first()[0] or 1
+    rows = stored.select("bucket_seq", "bucket_start", "ts", "vector_id", "vector").join(F.broadcast(counts), "bucket_seq")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vector_id"), F.col("_shards")).cast("int")).drop("_shards")
 
     def make(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["ts", "vector_id"], kind="stable")
         graph = Graph(config, metric)
-        for i, v in zip(part["vector_id"], part["vector"], strict=True):
-            graph.add(np.asarray(v, np.float64), level_of(int(i), config.m))
+        levels = np.array([level_of(int(i), config.m) for i in part["vector_id"]])
+        graph.fill(np.stack(part["vector"].to_numpy()).astype(np.float64), levels)
         out = part[["bucket_seq", "bucket_start", "shard", "vector_id"]].reset_index(drop=True)
         out["node_id"] = range(len(out))
-        out["level"] = [len(e) - 1 for e in graph.edges]
-        out["vector"] = list(graph.vectors[: len(graph)])
+        out["level"] = levels
+        out["vector"] = list(graph.vectors)
         out["neighbors"] = graph.edges
         return out[[c.split()[0] for c in NODES.split(", ")]]
 
-    return rows.groupBy("bucket_seq", "shard").applyInPandas(make, NODES)
+    # as many partitions as leave most graphs one of their own; small ones would be put together otherwise
+    return rows.repartition(4 * graphs, "bucket_seq", "shard").groupBy("bucket_seq", "shard").applyInPandas(make, NODES)
 
 
-def search(nodes: DataFrame, queries: DataFrame, config: CollectionConfig, k: int, ef: int = 100, recency=None, metric: str = "l2sq") -> DataFrame:
+def search(
+    nodes: DataFrame, queries: DataFrame, config: CollectionConfig, k: int, ef: int = 100, recency=None, metric: str = "l2sq", digits: int | None = None
+) -> DataFrame:
     """query_id, rank, vector_id, distance, bucket_seq: approximate hits over all graphs in nodes.
 
     Every bucket gives its k best by plain distance; ``recency`` (of bucket
-    start and distance) adjusts them before the last cut.
+    start and distance) adjusts them before the last cut. ``digits``: distances
+    are rounded to so many before any cut, half away from zero.
     queries(query_id, query) go to every task in chunks of bounded size.
     """
     rows = queries.select(F.col("query_id").cast("long"), "query")
@@ -193,25 +310,46 @@ def search(nodes: DataFrame, queries: DataFrame, config: CollectionConfig, k: in
     schema = "query_id long, vector_id long, distance double, bucket_seq int, bucket_start long"
     hits = nodes.sparkSession.createDataFrame([], schema)
     for held in query_chunks(rows, "query_id", rows.count(), chunk):
-        hits = hits.union(_ask(nodes, held, config, k, ef, metric, schema))
+        hits = hits.union(_ask(nodes, held, config, k, ef, metric, schema, digits))
     if recency:
         hits = top_k(hits, k, ["query_id", "bucket_seq"], ["distance", "vector_id"]).withColumn("distance", recency(F.col("bucket_start"), F.col("distance")))
     ranked = top_k(hits.drop("rank"), k, ["query_id"], ["distance", "bucket_seq", "vector_id"])
     return ranked.select("query_id", "rank", "vector_id", "distance", "bucket_seq")
 
 
-def _ask(nodes: DataFrame, held: pd.DataFrame, config: CollectionConfig, k: int, ef: int, metric: str, schema: str) -> DataFrame:
-    shared = nodes.sparkSession.sparkContext.broadcast((held["query_id"].tolist(), [np.asarray(q, np.float64) for q in held["query"]]))
+def _ask(nodes: DataFrame, held: pd.DataFrame, config: CollectionConfig, k: int, ef: int, metric: str, schema: str, digits: int | None) -> DataFrame:
+    shared = nodes.sparkSession.sparkContext.broadcast((held["query_id"].to_numpy(), np.array(held["query"].tolist(), np.float64).reshape(len(held), -1)))
+
+    def rounded(value: np.ndarray) -> np.ndarray:
+        if digits is None:
+            return value
+        whole = np.trunc(value * 10.0**digits)
+        rest = value * 10.0**digits - whole
+        return (whole + np.where(np.abs(rest) >= 0.5, np.sign(rest), 0)) / 10.0**digits
 
-    def find(part: pd.DataFrame) -> pd.DataFrame:
+    def find(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node_id")
         graph = Graph(config, metric)
         graph.vectors = np.stack(part["vector"].to_numpy()).astype(np.float64)
         graph.edges = [[list(map(int, lv)) for lv in e] for e in part["neighbors"]]
         graph.entry = int(part["level"].to_numpy().argmax())
-        ids, seq, start = part["vector_id"].tolist(), int(part["bucket_seq"].iloc[0]), int(part["bucket_start"].iloc[0])
-        hits = [(q, ids[n], d, seq, start) for q, v in zip(*shared.value, strict=True) for d, n in graph.search(v, k, ef)]
-        return pd.DataFrame(hits, columns=["query_id", "vector_id", "distance", "bucket_seq", "bucket_start"])
+        asked, queries = shared.value
+        ids, made = part["vector_id"].to_numpy(), []
+        if max(ef, k) >= len(graph):
+            found = graph.search_wide(queries, k, 0.0 if digits is None else 10.0**-digits)
+        else:
+            beams = [[n for _, n in graph.search(q, k, ef)] for q in queries]
+            found = [(np.repeat(np.arange(len(beams)), [len(b) for b in beams]), np.array([n for b in beams for n in b], int))]
+        for who, at in found:
+            value = np.empty(len(who))
+            for i in range(0, len(who), 1 << 13):
+                value[i : i + (1 << 13)] = _exact(queries[who[i : i + (1 << 13)]], graph.vectors[at[i : i + (1 << 13)]], metric)
+            value = rounded(value)
+            who, at, value = _first(who, at, value, ids, [], k)
+            made.append(pd.DataFrame({"query_id": asked[who], "vector_id": ids[at], "distance": value}))
+        hits = pd.concat(made)
+        hits["bucket_seq"], hits["bucket_start"] = key[0], int(part["bucket_start"].iloc[0])
+        return hits
 
     return nodes.groupBy("bucket_seq", "shard").applyInPandas(find, schema)
 
