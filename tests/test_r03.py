@@ -127,3 +127,19 @@ def test_full_components_are_tied_together():
     g.edges = [[[1, 2]], [[0, 2]], [[0, 1]], [[4, 5]], [[3, 5]], [[3, 4]]]
     g.connect()
     assert len(g.components()) == 1 and max(len(e[0]) for e in g.edges) <= 2
+
+
+def test_a_beam_over_all_nodes_is_exact_among_clusters(spark, table):
+    x = clusters(803, 400).astype(np.float32)
+    rows = QUERIES["hnsw_exact"](spark, table(x)).orderBy("query_id", "rank").collect()
+    gaps = np.round(((x[::100, None].astype(np.float64) - x[None].astype(np.float64)) ** 2).sum(-1), 9)
+    want = {q: sorted(range(803), key=lambda i: (gaps[q // 100][i], i))[:10] for q in range(0, 803, 100)}
+    assert {q: [r["vector_id"] for r in rows if r["query_id"] == q] for q in want} == want
+
+
+def test_distances_are_rounded_before_the_cut(spark):
+    """Two nodes whose distances differ in the tenth digit alone are ranked by their ids."""
+    c = CollectionConfig(dim=1, m=2, m_max0=4, ef_construction=8)
+    stored = spark.createDataFrame([(0, 0, 0, 7, [1.0]), (0, 0, 1, 3, [1.0 + 1e-11]), (0, 0, 2, 5, [9.0])], "bucket_seq int, bucket_start long, ts long, vector_id long, vector array<double>")
+    asked = spark.createDataFrame([(0, [0.0])], "query_id long, query array<double>")
+    assert [r["vector_id"] for r in hnsw.search(hnsw.build(stored, c), asked, c, 1, 9, digits=9).collect()] == [3]
