@@ -143,3 +143,13 @@ def test_distances_are_rounded_before_the_cut(spark):
     stored = spark.createDataFrame([(0, 0, 0, 7, [1.0]), (0, 0, 1, 3, [1.0 + 1e-11]), (0, 0, 2, 5, [9.0])], "bucket_seq int, bucket_start long, ts long, vector_id long, vector array<double>")
     asked = spark.createDataFrame([(0, [0.0])], "query_id long, query array<double>")
     assert [r["vector_id"] for r in hnsw.search(hnsw.build(stored, c), asked, c, 1, 9, digits=9).collect()] == [3]
+
+
+def test_the_size_of_a_bucket_is_that_of_all_its_shards(spark, table, monkeypatch):
+    build = hnsw.build
+    monkeypatch.setattr(hnsw, "build", lambda stored, config: build(stored, config, 40))
+    rows = QUERIES["graph_sizes"](spark, table(np.random.default_rng(3).normal(size=(403, 64)))).collect()
+    level = [hnsw.level_of(i, 16) for i in range(403)]
+    ids = {b: range(100 * b, min(403, 100 * b + 100)) for b in range(5)}
+    want = {(b, 0, len(of), 64, max(level[i] for i in of), max(of, key=lambda i: (level[i], -i))) for b, of in ids.items()}
+    assert {(r["bucket_seq"], r["shard"], r["nodes"], r["dim"], r["top_level"], r["entry"]) for r in rows} == want and len(rows) == 5

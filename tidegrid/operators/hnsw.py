@@ -365,6 +365,13 @@ def describe(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("bucket_seq", "shard").agg(F.count("*").alias("nodes"), F.max(F.size("vector")).alias("dim"), F.max("level").alias("top_level"), first.alias("entry"))
 
 
+def describe_buckets(nodes: DataFrame) -> DataFrame:
+    """As ``describe``, a bucket's shards taken together as shard 0: of their entries the highest, then the one of the least id."""
+    first = F.min_by("entry", F.struct(F.negative("top_level"), "entry"))
+    made = [F.sum("nodes").alias("nodes"), F.max("dim").alias("dim"), F.max("top_level").alias("top_level"), first.alias("entry")]
+    return describe(nodes).groupBy("bucket_seq").agg(F.lit(0).alias("shard"), *made)
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     """bucket_seq, node_id, level, neighbors: the graphs as an edge table."""
     return nodes.select("bucket_seq", "shard", "node_id", F.posexplode("neighbors").alias("level", "neighbors"))
